@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,23 +52,78 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def utf8(texts) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as one byte array, and the n+1 offsets of the texts in it (None: empty)."""
-    parts = [b"" if t is None or t != t else t.encode("utf-8", "surrogatepass") for t in texts]
-    ends = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) for p in parts], out=ends[1:])
-    return np.frombuffer(b"".join(parts), np.uint8), ends
+def utf8(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow string column (null: empty) as one array, and the n+1 offsets of its texts."""
+    column = pa.array(column, pa.large_string()) if not isinstance(column, pa.Array) else column
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(frames, limit: int = 8_000_000, column: str = "text"):
-    """Pandas frames cut to at most `limit` characters each (a longer text stands alone), to bound memory."""
-    for frame in frames:
-        sizes = frame[column].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy()
+def slices(batches, limit: int = 8_000_000, rows: int = 4096, column: str = "text"):
+    """Arrow batches cut to at most `limit` bytes of text (a longer text stands alone) and `rows` rows, to bound memory."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for i, n in enumerate(sizes):
-            if total + n > limit and i > start:
-                yield frame.iloc[start:i]
+            if (total + n > limit or i - start >= rows) and i > start:
+                yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n
-        if start < len(frame):
-            yield frame.iloc[start:]
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+_RNG = np.random.default_rng(20240229)
+#: One random 64-bit number per byte value, an odd base and its inverse modulo 2^64.
+BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
+BASE = int(_RNG.integers(0, 1 << 64, dtype=np.uint64)) | 1
+INVERSE = pow(BASE, -1, 1 << 64)
+WHITE = np.zeros(256, bool)
+WHITE[[32, *range(9, 14)]] = True
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 ... base^(n-1) modulo 2^64."""
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+class Words:
+    """64-bit hashes of the words of texts, by prefix sums of a polynomial; powers are kept for the next batch."""
+
+    def __init__(self):
+        self.up, self.down = powers(BASE, 1 << 16), powers(INVERSE, 1 << 16)
+
+    def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' hashes in order, and the n+1 offsets of the texts among them."""
+        n = len(data)
+        if n >= len(self.up):
+            self.up, self.down = powers(BASE, 2 * n), powers(INVERSE, 2 * n)
+        solid = np.zeros(n + 2, bool)
+        solid[1:-1] = ~WHITE[data]
+        edge = solid[1:] != solid[:-1]
+        # A text's end is a boundary too: a word never runs from one text into the next.
+        inner = ends[1:-1]
+        inner = inner[(inner > 0) & (inner < n)]
+        joined = np.unique(inner[solid[inner] & solid[inner + 1]]) if len(inner) else inner
+        at = np.flatnonzero(edge)
+        first, last = at[::2], at[1::2]
+        if len(joined):
+            first, last = np.sort(np.concatenate([first, joined])), np.sort(np.concatenate([last, joined]))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE[data] * self.up[:n], out=total[1:])
+        hashes = mixed((total[last] - total[first]) * self.down[first] + (last - first).astype(np.uint64))
+        return hashes, np.searchsorted(first, ends, "left")

@@ -21,10 +21,11 @@ from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, slices, stored
 
 SEQUENCE = 1024
 END_ID = 2
@@ -63,25 +64,25 @@ def tokenized(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id:
     end = np.asarray([end_id], "<u4").tobytes()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def pieces(frames):
+    def pieces(batches):
         model = Ids(tokenizer)
-        for frame in frames:
-            rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                ids = model.ids(text if isinstance(text, str) else "") + end
+        for batch in slices(batches):
+            at_row, rows = [], []
+            for i, text in enumerate(batch.column("text")):
+                ids = model.ids(text.as_py() or "") + end
                 n = len(ids) // 4
-                at, first = 0, (n - 1) % sequence + 1
+                at, length = 0, (n - 1) % sequence + 1  # only the first piece is shorter
                 for k in range((n - 1) // sequence + 1):
-                    length = sequence if k else first
                     part = ids[4 * at : 4 * (at + length)]
-                    rows.append((doc, k, at, length, zlib.crc32(part), *([part] if with_ids else [])))
-                    at += length
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-            out["doc_id"] = pd.array([None if x != x or x is None else x for x in out["doc_id"]], dtype="Int64") if kind == "bigint" else out["doc_id"]
-            yield out
+                    at_row.append(i)
+                    rows.append((k, at, length, zlib.crc32(part), part))
+                    at, length = at + length, sequence
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at_row)), *columns[: 4 + with_ids]], names)
 
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(pieces, schema)
+    return docs.select("doc_id", "text").mapInArrow(pieces, schema)
 
 
 class Tightest:

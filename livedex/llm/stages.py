@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import jaccard_join as jaccard
+from . import language_id as language
+from . import mixing, packing, pii
 
 
 def language_id(spark, docs, sf_dir):
-    from . import language_id as op
-
-    return op.accepted(docs)
+    return language.accepted(docs)
 
 
 def jaccard_join(spark, docs, sf_dir):
-    from . import jaccard_join as op
-
-    return op.representatives(docs)
+    return jaccard.representatives(docs)
 
 
 def personal_data(spark, docs, sf_dir):
-    from . import pii
-
     return pii.redacted(docs)
 
 
