@@ -91,8 +91,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]").finditer
 #: Passages worth a look: seven or more digits with few other characters between, and addresses in words.
-_NUMBERS = re.compile(r"(?<![0-9])[0-9(]?[0-9]{1,19}(?:[ ().\-/]{1,3}[0-9]{1,19}){1,8}").finditer
+_NUMBERS = re.compile(r"(?<![0-9])[(+]?[0-9]{1,19}(?:[ ().\-/]{1,3}[0-9]{1,19}){1,8}").finditer
 _WORDED = re.compile(r"(?i)(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[({]dot[\])}] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}").finditer
+_WORDED_WHOLE = re.compile(r"(?i)[A-Za-z0-9._%+ -]+ ?(?:\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]+(?:(?: ?[\[({]dot[\])}] ?| dot |\.)[A-Za-z0-9-]+)+").fullmatch
 _WORDED_HINT = re.compile(r"(?i)[\[({]at[\])}]| dot ").search
 _HINTS = {
     "phone": frozenset("phone telephone tel call mobile cell fax dial".split()),
@@ -121,7 +122,7 @@ def span_features(text: str, start: int, end: int) -> list[str]:
     at = bool(re.search(r"[\[({ ]at[\])} ]", lower))
     dot = bool(re.search(r"[\[({ ]dot[\])} ]|\.[a-z]{2,6}$", lower))
     if at or dot:
-        out.append(f"at{at} dot{dot}")
+        out += [f"at{at} dot{dot}", f"words{min(9, len(re.findall(r'[A-Za-z0-9]+', span)))}", f"local{min(3, len(re.split(r'[^A-Za-z0-9._%+-]', re.split(r'[\[({ ]+at[\])} ]', lower)[0].strip())))}"]
     before = re.findall(r"[a-z]+", text[max(0, start - 24) : start].lower())[-2:]
     out += [f"left {kind}" for kind, words in _HINTS.items() if words & set(before)]
     if start and (text[start - 1].isalnum() or text[start - 1] in "(.-/+"):
@@ -137,14 +138,14 @@ def candidates(text: str, cuts: list[tuple[int, int]]) -> list[tuple[int, int, l
     """Segments (first token, token after the last, features) that might be an entity."""
     out = []
     for i, (start, _) in enumerate(cuts):
-        if not (text[start].isalnum() or text[start] == "("):
+        if not (text[start].isalnum() or text[start] in "(+"):
             continue
-        for j in range(i + 2, min(len(cuts), i + LONGEST) + 1):
+        for j in range(i + 1, min(len(cuts), i + LONGEST) + 1):
             end = cuts[j - 1][1]
             if not text[end - 1].isalnum():
                 continue
             span = text[start:end]
-            if 7 <= sum(c.isdigit() for c in span) <= 20 and not re.search(r"[A-Za-z]", span) or re.search(r"(?i)[\[({ ]at[\])} ]", span) or re.fullmatch(r"[0-9]{1,3}(?: ?[. ] ?[0-9]{1,3}){3}", span):
+            if 7 <= sum(c.isdigit() for c in span) <= 20 and not re.search(r"[A-Za-z]", span) or _WORDED_WHOLE(span) or re.fullmatch(r"[0-9]{1,3}(?: ?[. ] ?[0-9]{1,3}){3}", span):
                 out.append((i, j, span_features(text, start, end)))
     return out
 
@@ -198,7 +199,7 @@ class Field:
             t = s[0] if s else t - 1
         return out[::-1]
 
-    def train(self, sentences, rounds: int = 14, rate: float = 0.5, decay: float = 1e-3) -> Field:
+    def train(self, sentences, rounds: int = 24, rate: float = 0.5, decay: float = 1e-3) -> Field:
         """Stochastic ascent on the log-likelihood of sentences [(text, [(start, end, kind)])]."""
         prepared = []
         for text, spans in sentences:
@@ -236,9 +237,9 @@ def sentences(n: int = 260, seed: int = 5) -> list[tuple[str, list[tuple[int, in
         kind = r.choice(KINDS)
         if kind == "phone":
             a, b, c = d(3), d(3), d(4)
-            return kind, r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}){b}-{c}", f"0{d(3)} {d(7)}" if r.random() < 0.2 else f"{a} {b} {c}"))
+            return kind, r.choice((f"+1 ({a}) {b}-{c}", f"+{d(2)} {a} {b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}){b}-{c}", f"0{d(3)} {d(7)}" if r.random() < 0.2 else f"{a} {b} {c}"))
         if kind == "card":
-            return kind, card(r.choice((".", "/", ". ")).strip() or ".")
+            return kind, card(r.choice(("", "", " ", ".", "/")))
         if kind == "ip":
             return kind, " . ".join(str(r.randint(1, 255)) for _ in range(4))
         at, dot = r.choice(((" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", ".")))
@@ -259,6 +260,10 @@ def sentences(n: int = 260, seed: int = 5) -> list[tuple[str, list[tuple[int, in
                 text += r.choice((*sorted(_HINTS[kind]), word(), word())) + r.choice((" ", ": "))
                 spans.append((len(text), len(text) + len(value), kind))
                 text += value
+                if kind in ("phone", "card") and r.random() < 0.5:  # two entities that one pattern would run together
+                    kind, value = ("card", card("")) if kind == "phone" else ("phone", f"+1 ({d(3)}) {d(3)}-{d(4)}")
+                    spans.append((len(text) + 1, len(text) + 1 + len(value), kind))
+                    text += " " + value
             else:
                 text += other()
             text += r.choice((" ", ". ", ", ")) + word() + " "
