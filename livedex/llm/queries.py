@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, jaccard_join, language_id, lm_scoring, mixing, packing, pii, topk_search
+from . import chat_format, embedding_dedup, jaccard_join, language_id, lm_scoring, mixing, packing, pii, suffix_dedup, topk_search
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_chat_formatting(spark, sf_dir):
     return chat_format.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
+def op2_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_scoring(spark, sf_dir):
     return lm_scoring.scored(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op6_best_fit_packing(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_chat_formatting, op3_lm_scoring, op4_language_id, op5_personal_data, op6_best_fit_packing, op7_exact_top_k,
+        op1_chat_formatting, op2_suffix_array_dedup, op3_lm_scoring, op4_language_id, op5_personal_data, op6_best_fit_packing, op7_exact_top_k,
         op8_embedding_near_dedup, op9_ngram_jaccard_join, op10_mix_sources,
     )
 }
