@@ -30,26 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read back: no recomputation, no lineage to lose."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_folder(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """As cut(), but in compressed Parquet, for wide rows."""
+    """The rows as Parquet in the shared folder, read back: no recomputation, and no lineage to lose with an executor."""
     path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def cut(df: DataFrame) -> DataFrame:
+    """As stored(), for what has no name of its own.  (A checkpoint of a union may keep a partitioning by columns it has lost.)"""
+    return stored(df, "cut")
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:

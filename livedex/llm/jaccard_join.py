@@ -197,7 +197,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     whole = parts.join(texts, "id").select("component", "id", "weight", "blocks", "block", "text")
     whole = whole.mapInArrow(sets, "component long, id long, weight long, blocks long, block long, shingles binary").where(F.length("shingles") > 0)
     # A component of one block goes to a task with others like it; one of more blocks has a task for each pair of them.
-    groups = max(16, nodes.count() // 20_000)
+    groups = max(16, nodes.count() // 3000)
     small = whole.where("blocks = 1").select(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("g"), F.lit(-1).cast("long").alias("x"), F.lit(-1).cast("long").alias("y"), "component", "id", "weight", "block", "shingles")
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     large = whole.where("blocks > 1").withColumn("other", F.explode(others)).select(
