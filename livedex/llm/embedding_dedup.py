@@ -28,6 +28,7 @@ from .components import components, forest
 from .topk_search import usable
 
 THRESHOLD = 0.95
+#: Nodes of a tile, and pivots at most (as many as there would be tiles).
 TILE, PIVOTS = 4096, 64
 
 
@@ -74,6 +75,7 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
 
 def tiles(nodes: DataFrame, tile_rows: int, pivots: int) -> DataFrame:
     """dim, tile, centre (array), angle, and the nodes' ids, weights and vectors as binaries."""
+    pivots = max(1, min(pivots, nodes.count() // tile_rows))
     dims = [r["dim"] for r in nodes.select(F.size("v").alias("dim")).distinct().limit(1000).collect()]
     chosen = {}
     for dim in dims:
