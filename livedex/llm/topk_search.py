@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SHARD_ROWS, PAGE_ROWS, QUERY_ROWS = 8192, 64, 1024
+SHARD_ROWS, PAGE_ROWS, QUERY_ROWS = 4096, 64, 1024
 SCALE = 64
 _EXACT = 2.0**52
 
@@ -149,8 +149,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, scale: int = SCALE)
     rows = vectors.where(F.col("vec_id").isNotNull() & usable()).select(F.col("vec_id").cast("long").alias("vec_id"), floors.alias("v"), F.size("embedding").alias("dim"), queries.alias("asks"))
     asked = stored(blocks(rows.where("asks"), QUERY_ROWS, named="ask"), "queries").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
     shards = stored(blocks(rows, SHARD_ROWS, named="shard"), "shards")
-    # A stated query set against all rows, in blocks: one row is one block of queries at one shard.
-    pairs = shards.join(asked, "dim").repartition("shard", "ask")
+    # A stated query set against all rows, in blocks: a block of queries goes to every shard of its length, and a shard
+    # stays where it is, so its tree is built once.
+    numbers = shards.groupBy("dim").agg((F.max("shard") + 1).alias("n"))  # a row a length
+    sent = asked.join(numbers, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    pairs = sent.join(shards, ["dim", "shard"]).select("dim", "shard", "ids", "vectors", "q_ids", "q_vectors")
 
     def best(batches):
         last, tree = None, None
