@@ -45,3 +45,13 @@ def batch_stats(batches: DataFrame) -> DataFrame:
     return batches.agg(last.alias("last"), F.sum("docs").alias("total_docs"), F.round(F.sum("ms") / F.sum("docs"), 6).alias("ms_per_doc")).select(
         F.col("last.docs").alias("last_docs"), F.col("last.ms").alias("last_ms"), F.col("last.left_over").alias("last_left_over"), "total_docs", "ms_per_doc"
     )
+
+
+def cpu_sums(threads: DataFrame) -> DataFrame:
+    """Total and user CPU time over threads (total_ns, user_ns)."""
+    return threads.agg(F.sum("total_ns").alias("total_ns"), F.sum("user_ns").alias("user_ns"))
+
+
+def last_samples(samples: DataFrame, n: int = 10) -> DataFrame:
+    """The last n samples, oldest first."""
+    return samples.orderBy(F.col("ts").desc()).limit(n).orderBy("ts")

@@ -2,8 +2,7 @@
 
 A document is read and cut into tokens once; every leaf of the tree is a count over its token array, so matching is a
 narrow projection without an exchange.  Document frequencies are one small aggregate over those counts.  Only the best
-k rows are joined with their stored fields.  Over a postings table, the leaves' counts come from the pruned buckets of
-their terms instead (postings_counts).
+k rows are joined with their stored fields.  Over a stored index, see postings.py.
 
     score = coord * norm * sum over matched leaves of sqrt(tf) * idf^2 * boost / sqrt(length)
     idf = 1 + ln(N / (df + 1)),  coord = matched / leaves,  norm = 1 / sqrt(sum of (idf * boost)^2)
@@ -22,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analysis import terms
+from ..functions.scoring import CLASSIC, Similarity
 from ..model import SearchHit, SearchRequest, SearchResult
 from ..plans import query_parser as qp
 from .highlight import best_fragment
@@ -98,7 +98,7 @@ def _every_leaf(tree: qp.Clause) -> list[qp.Clause]:
     return [leaf for c in (*tree.must, *tree.should, *tree.must_not) for leaf in _every_leaf(c)] if isinstance(tree, qp.Group) else [tree]
 
 
-def matches(live: DataFrame, query: str | None, keyword_fields: tuple[str, ...] = ("lang", "source"), keep: tuple[str, ...] = (), analyzer=terms) -> DataFrame:
+def matches(live: DataFrame, query: str | None, keyword_fields: tuple[str, ...] = ("lang", "source"), keep: tuple[str, ...] = (), analyzer=terms, similarity: Similarity = CLASSIC) -> DataFrame:
     """uid and score of every hit (and the columns in `keep`)."""
     tree = qp.parse(query)
     fields = set(keyword_fields)
@@ -109,7 +109,7 @@ def matches(live: DataFrame, query: str | None, keyword_fields: tuple[str, ...]
     at = {leaf: f"tf{k}" for k, leaf in enumerate(all_leaves)}
     if any(not isinstance(leaf, qp.MatchAll) for leaf in scoring):  # one row with a number per leaf
         sums = counted.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum((F.col(c) > 0).cast("long")), F.lit(0)).alias(c) for c in at.values()]).first()
-        idf = {leaf: 1 + math.log(max(sums["n"], 1) / (sums[c] + 1)) for leaf, c in at.items()}
+        idf = {leaf: similarity.idf(sums["n"], sums[c]) for leaf, c in at.items()}
     else:
         idf = dict.fromkeys(all_leaves, 1.0)
     norm = math.sqrt(sum((idf[leaf] * leaf.boost) ** 2 for leaf in scoring)) or 1.0
@@ -118,11 +118,11 @@ def matches(live: DataFrame, query: str | None, keyword_fields: tuple[str, ...]
         tf = F.col(at[leaf])
         weight = idf[leaf] ** 2 * leaf.boost
         normed = isinstance(leaf, (qp.Term, qp.Phrase)) and leaf.field not in fields
-        part = F.sqrt(tf.cast("double")) * weight / F.sqrt(F.col("length").cast("double")) if normed else F.lit(weight)
+        part = similarity.tf(tf) * weight * similarity.norm(F.col("length")) if normed else F.lit(weight)
         total += F.when(tf > 0, part).otherwise(0.0)
         matched += (tf > 0).cast("int")
     match = {leaf: F.col(c) > 0 for leaf, c in at.items()}
-    score = F.lit(1.0) if isinstance(tree, qp.MatchAll) else matched / len(scoring) * total / norm
+    score = F.lit(1.0) if isinstance(tree, qp.MatchAll) else (matched / len(scoring) if similarity.coord else F.lit(1.0)) * total / norm
     return counted.where(condition(tree, match)).select("uid", *keep, F.round(score, 6).alias("score"))
 
 
@@ -136,14 +136,6 @@ def with_fields(hits: DataFrame, live: DataFrame, fields: list[str]) -> DataFram
     return live.select("uid", *fields).join(F.broadcast(hits), "uid")
 
 
-def postings_counts(postings: DataFrame, words: list[str], buckets: int) -> DataFrame:
-    """uid and tf per word from a postings table partitioned by `bucket`: only the words' buckets are read."""
-    spark = postings.sparkSession
-    at = {spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(buckets))).first()[0] for w in words}
-    rows = postings.where(F.col("bucket").isin(*at) & F.col("term").isin(*words))
-    return rows.groupBy("uid").agg(*[F.sum(F.when(F.col("term") == w, F.col("tf")).otherwise(0)).alias(f"tf{k}") for k, w in enumerate(words)])
-
-
 class SearchService:
     """search(request) -> result over a function that gives the current live view."""
 

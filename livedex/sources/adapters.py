@@ -77,3 +77,8 @@ def clean_content(rows: DataFrame, column: str, skipped_prefixes: tuple[str, ...
     for prefix in skipped_titles if title else ():
         out = out.where(~F.startswith(F.col(title), F.lit(prefix)))
     return out.withColumn(column, F.translate(column, "\t\n", "  "))
+
+
+def source_counts(files: DataFrame) -> DataFrame:
+    """Documents and bytes that a file source has read, one row (files: path, bytes)."""
+    return files.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
