@@ -29,7 +29,7 @@ from .topk_search import usable
 
 THRESHOLD = 0.95
 #: Nodes of a tile, and pivots at most (as many as there would be tiles).
-TILE, PIVOTS = 4096, 64
+TILE, PIVOTS, SALTS = 4096, 64, 16
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -127,10 +127,13 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE,
     other = brief.select("dim", F.col("tile").alias("tile2"), F.col("centre").alias("centre2"), F.col("angle").alias("angle2"))
     dot = F.aggregate(F.zip_with("centre", "centre2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     near = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) <= F.col("angle") + F.col("angle2") + math.acos(threshold) + 1e-6
-    pairs = brief.join(other, "dim").where((F.col("tile") <= F.col("tile2")) & ((F.col("tile") == F.col("tile2")) | near)).select("dim", "tile", "tile2")
+    # Most vectors have one length, so tiles are dealt by a salt as well.
+    brief = brief.withColumn("salt", F.pmod(F.xxhash64("tile"), F.lit(SALTS)).cast("int"))
+    other = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = brief.join(other, ["dim", "salt"]).where((F.col("tile") <= F.col("tile2")) & ((F.col("tile") == F.col("tile2")) | near)).select("dim", "tile", "tile2")
     left = kept.select("dim", "tile", "ids", "weights", "vectors")
     right = left.toDF("dim", "tile2", "ids2", "weights2", "vectors2")
-    work = pairs.join(left, ["dim", "tile"]).join(right, ["dim", "tile2"]).repartition("tile", "tile2")
+    work = pairs.join(left, ["dim", "tile"]).join(right, ["dim", "tile2"])
 
     def compare(batches):
         for batch in batches:
