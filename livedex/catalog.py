@@ -377,10 +377,11 @@ def uid_contains_all(spark, d):
     return lookup.contains_all(_probes(spark), adapters.corpus(spark, d))
 
 
-@query(f"{D} SELECT docid FROM numbers WHERE docid >= 57 AND uid % 3 = 0 ORDER BY docid LIMIT 5")
+@query(f"{D} SELECT docid FROM numbers WHERE docid >= 57 AND uid IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY docid LIMIT 5")
 def docidset_advance(spark, d):
-    numbers = lookup.doc_numbers(adapters.corpus(spark, d).where("uid % 3 = 0 OR local = 99"))
-    return lookup.advance(numbers.where("uid % 3 = 0").select("docid"), 57, 5)
+    wanted = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("uid"))
+    numbers = lookup.only(lookup.doc_numbers(adapters.corpus(spark, d)), wanted)
+    return lookup.advance(numbers.select("docid"), 57, 5)
 
 
 @query(f"{D} SELECT segment, size, start, start + size AS stop FROM offsets")
