@@ -75,3 +75,12 @@ def test_monitor_and_sources(spark):
     assert adapters.source_counts(spark.createDataFrame([("a", 3), ("b", 4)], "path string, bytes long")).first() == (2, 7)
     pages = spark.createDataFrame([("Image: x", "pic"), ("t", "#REDIRECT y"), ("u", "a\tb\nc")], "title string, body string")
     assert [r["body"] for r in adapters.clean_content(pages, "body", title="title").collect()] == ["a b c"]
+
+
+def test_content_dump(spark, tmp_path):
+    from livedex.streaming.ingest import content_dump
+
+    page = "<page><title>{}</title><id>{}</id><timestamp>2024-01-02T03:04:05Z</timestamp><text>{}</text></page>"
+    (tmp_path / "d.xml").write_text("<dump>" + page.format("A", 1, "one\ttwo\nthree") + page.format("B", 2, "#REDIRECT A") + page.format("Image:C", 3, "x") + "</dump>")
+    rows = content_dump(spark, str(tmp_path / "d.xml")).collect()
+    assert [(r["id"], r["title"], r["body"]) for r in rows] == [(1, "A", "one two three")] and str(rows[0]["date"]) == "2024-01-02 03:04:05"
