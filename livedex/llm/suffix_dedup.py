@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import BASE, BYTE, INVERSE, mixed, powers, slices, stored, utf8
 
 LENGTH, ANCHOR = 400, 256
+#: Bytes of text that are hashed at a time; about a hundred bytes of memory each.
+SLICE = 2_000_000
 #: Anchors that a window has to choose from.
 CHOICE = LENGTH - ANCHOR + 1
 _PLACE = np.uint64((1 << 24) - 1)
@@ -102,7 +104,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     """(doc, at, h, whole) of all anchors; `at` packs the anchor's place, its distance to its first and last window, and 16 bits that tell texts apart."""
 
     def rows(batches):
-        for batch in slices(batches, rows=1 << 20):
+        for batch in slices(batches, SLICE, rows=1 << 20):
             data, ends, sign = _raw(batch.column("text"))
             place, first, last, h, whole = anchors(data, ends)
             doc = np.searchsorted(ends, place, "right") - 1
@@ -116,7 +118,7 @@ def window_rows(texts: DataFrame) -> DataFrame:
     """(doc, at, h, w) of all windows of the anchors in `asked` (array of at << 1 | known), of rows (doc, text, asked)."""
 
     def rows(batches):
-        for batch in slices(batches, rows=1 << 20):
+        for batch in slices(batches, SLICE, rows=1 << 20):
             data, ends, sign = _raw(batch.column("text"))
             asked = batch.column("asked")
             counts = np.diff(asked.offsets.to_numpy())
@@ -159,7 +161,8 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     open_ = alike.join(mixed_groups, "h").select(F.col("one.doc").alias("doc"), F.struct(F.col("one.at").alias("at"), (F.col("n") > 1).alias("known")).alias("a"))
     open_ = open_.groupBy("doc").agg(F.collect_list("a").alias("asked"))
     texts = given.select("doc", "doc_id", "text").repartition("doc")
-    windows = window_rows(texts.join(open_, "doc").select("doc", "text", "asked"))
+    # With all columns of `texts`, so that both joins read one exchange of the documents.
+    windows = window_rows(texts.join(open_, "doc").select("doc", "doc_id", "text", "asked"))
     twice = windows.groupBy("h", "w").agg((F.count(F.lit(1)) + F.max(F.col("known").cast("long"))).alias("n")).where("n > 1").select("h", "w")
     found = windows.where("NOT known").join(twice, ["h", "w"])
     found = found.select("doc", F.col("at").bitwiseAND(0xFFFF).alias("sign"), F.shiftright("at", 16).alias("first"), (F.shiftright("at", 16) + LENGTH).alias("end"), "h")
@@ -167,7 +170,7 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spans = sure.unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("sign", "first", "end")).alias("spans"))
 
     def rows(batches):
-        for batch in slices(batches, rows=1 << 20):
+        for batch in slices(batches, SLICE, rows=1 << 20):
             data, ends, sign = _raw(batch.column("text"))
             out = []
             for i, (a, b, spans) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column("spans"), strict=True)):
