@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -15,7 +17,15 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are wide rows: Python gets a thousand at a time, unless the session asks for another number than the default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +57,23 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df, "cut")
 
 
+def free() -> None:
+    """Gives memory that this process no longer uses back to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(rows):
+    """A function over batches that frees memory when it is through."""
+
+    def run(batches):
+        yield from rows(batches)
+        free()
+
+    return run
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string column (null: empty) as one array, and the n+1 offsets of its texts."""
     column = pa.array(column, pa.large_string()) if not isinstance(column, pa.Array) else column
@@ -57,7 +84,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(batches, limit: int = 8_000_000, rows: int = 4096, column: str = "text"):
+def slices(batches, limit: int = 3_000_000, rows: int = 2048, column: str = "text"):
     """Arrow batches cut to at most `limit` bytes of text (a longer text stands alone) and `rows` rows, to bound memory."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, stored, tidy
 from .components import components, forest
 from .topk_search import usable
 
@@ -97,7 +97,7 @@ def tiles(nodes: DataFrame, tile_rows: int, pivots: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("weight"), v, pa.array(cell)], ["node", "weight", "v", "cell"])
 
     kind = nodes.schema["v"].dataType.simpleString()
-    dealt = cut(nodes.select("node", "weight", "v").mapInArrow(nearest, f"node long, weight long, v {kind}, cell int").withColumn("dim", F.size("v")))
+    dealt = cut(nodes.select("node", "weight", "v").mapInArrow(tidy(nearest), f"node long, weight long, v {kind}, cell int").withColumn("dim", F.size("v")))
     sizes = dealt.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("parts"))
     dealt = dealt.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
@@ -154,7 +154,7 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE,
                 has = np.flatnonzero(sums)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(sums[has].astype(np.int64)), pa.array(ids[root[has]])], ["node", "links", "root"])
 
-    return cut(work.mapInArrow(compare, "node long, links long, root long"))
+    return cut(work.mapInArrow(tidy(compare), "node long, links long, root long"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

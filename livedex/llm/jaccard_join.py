@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, mixed, slices, stored, utf8
+from .common import Words, cut, mixed, slices, stored, tidy, utf8
 from .components import components, forest
 
 WIDTH = 5
@@ -89,7 +89,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep)), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(bands, pa.binary())], ["doc_id", "key1", "key2", "bands"])
 
     given = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return given.mapInArrow(rows, "doc_id long, key1 long, key2 long, bands binary")
+    return given.mapInArrow(tidy(rows), "doc_id long, key1 long, key2 long, bands binary")
 
 
 def stars(nodes: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def stars(nodes: DataFrame) -> DataFrame:
             h = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), BANDS)), pa.array(h)], ["node", "bucket"])
 
-    dealt = nodes.select("node", "bands").mapInArrow(buckets, "node long, bucket long")
+    dealt = nodes.select("node", "bands").mapInArrow(tidy(buckets), "node long, bucket long")
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("bucket", "a")
     return dealt.join(shared, "bucket").where("node > a").select("a", F.col("node").alias("b")).distinct()
 
@@ -195,7 +195,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     whole = parts.join(texts, "id").select("component", "id", "weight", "blocks", "block", "text")
-    whole = whole.mapInArrow(sets, "component long, id long, weight long, blocks long, block long, shingles binary").where(F.length("shingles") > 0)
+    whole = whole.mapInArrow(tidy(sets), "component long, id long, weight long, blocks long, block long, shingles binary").where(F.length("shingles") > 0)
     # A component of one block goes to a task with others like it; one of more blocks has a task for each pair of them.
     groups = max(16, nodes.count() // 3000)
     small = whole.where("blocks = 1").select(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("g"), F.lit(-1).cast("long").alias("x"), F.lit(-1).cast("long").alias("y"), "component", "id", "weight", "block", "shingles")

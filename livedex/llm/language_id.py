@@ -17,12 +17,11 @@ columns other than doc_id, text and lang don't matter.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import free, slices, tidy, utf8
 
 #: Labelled documents of each language that the fit may read (expected number).
 PER_LANGUAGE = 800
@@ -37,6 +36,10 @@ _SYMBOL = np.full(256, 32, np.uint32)
 _SYMBOL[128:] = np.arange(128, 256)
 _SYMBOL[65:91] = np.arange(97, 123)
 _SYMBOL[97:123] = np.arange(97, 123)
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Texts that are scored at once: bytes and rows, each row with a line of DIMENSIONS counts.
+SLICE = 1_000_000, 256
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,8 +69,14 @@ def features(texts) -> np.ndarray:
     return counts
 
 
-def has_letter(text) -> bool:
-    return isinstance(text, str) and any(map(str.isalpha, text))
+def lettered(texts: pa.Array) -> np.ndarray:
+    """Which texts have a letter.  Only those without an ASCII letter are looked at as characters."""
+    data, ends = utf8(texts)
+    before = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data], dtype=np.int64)])
+    out = before[ends[1:]] > before[ends[:-1]]
+    for i in np.flatnonzero(~out):
+        out[i] = any(map(str.isalpha, texts[int(i)].as_py() or ""))
+    return out
 
 
 def codewords(languages: int, bits: int = BITS) -> np.ndarray:
@@ -109,10 +118,10 @@ class Model:
         right = ((signs * (x @ self.w + self.b)) > 0).astype(np.float32)
         self.bits = np.maximum((right * weight).sum(0) * 2 - 1, 0.05)
 
-    def predict(self, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language, score and ambiguity of each text."""
         n, k = len(texts), len(self.languages)
-        known = np.fromiter((has_letter(t) for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)), bool, n)
+        known = lettered(texts)
         names, score, unsure = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n, bool)
         if k == 1:
             names[known], score[known] = self.languages[0], 1.0
@@ -125,7 +134,7 @@ class Model:
             names[known] = np.array(self.languages, object)[order[:, 0]][known]
             score[known] = np.round(share, 6)[known]
             unsure = known & ((next_ - best) < TOLERANCE * (next_ + best))
-        return list(names), score, unsure
+        return names, score, unsure
 
 
 def fitted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
@@ -141,12 +150,12 @@ def fitted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         wanted |= (F.col("lang") == name) & (draw < F.lit(int(min(1.0, per_language / sizes[name]) * (1 << 20))))
 
     def rows(batches):
-        for batch in slices(batches, rows=1024):
+        for batch in slices(batches, *SLICE):
             whole = np.round(features(batch.column("text")) * 8192).astype("<u2")
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array([r.tobytes() for r in whole], pa.binary())], ["lang", "doc_id", "f"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = labelled.where(wanted).mapInArrow(rows, f"lang string, doc_id {kind}, f binary").collect()
+    found = labelled.where(wanted).mapInArrow(tidy(rows), f"lang string, doc_id {kind}, f binary").collect()
     found.sort(key=lambda r: (r["lang"], r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["f"])))
     x = np.frombuffer(b"".join(bytes(r["f"]) for r in found), "<u2").reshape(-1, DIMENSIONS).astype(np.float32) / 8192
     y = np.array([languages.index(r["lang"]) for r in found], int)
@@ -160,13 +169,13 @@ def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches):
-        for batch in slices(batches, rows=1024):
+        for batch in slices(batches, *SLICE):
             found = model.predict(batch.column("text"))
             columns = [batch.column("doc_id"), batch.column("held_out"), *map(pa.array, found)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     given = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    return given.mapInArrow(rows, f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return given.mapInArrow(tidy(rows), f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
@@ -176,11 +185,12 @@ def accepted(docs: DataFrame) -> DataFrame:
     """
     model = fitted(docs)
 
-    def clear(texts: pd.Series) -> pd.Series:
-        out = []
-        for k in range(0, len(texts), 1024):
-            names, _, unsure = model.predict(texts.iloc[k : k + 1024].tolist())
-            out.append((np.array(names, object) != UNDETERMINED) & ~unsure)
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    def clear(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0, bool)]
+        for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], *SLICE):
+            names, _, unsure = model.predict(part.column("text"))
+            out.append((names != UNDETERMINED) & ~unsure)
+        free()
+        return pa.array(np.concatenate(out))
 
-    return docs.where(F.pandas_udf(clear, "boolean")(F.col("text")))
+    return docs.where(F.arrow_udf(clear, "boolean")(F.col("text")))

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, new_folder, slices, utf8
+from .common import Words, cut, new_folder, slices, tidy, utf8
 from .elias_fano import EliasFano, encode, mapped, removed, write
 
 #: The end of a text, as a word; it is also the context of the first word.
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Entries that a counting task holds before it passes them on.
-HELD = 6_000_000
+HELD = 3_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -169,7 +169,7 @@ def packed_counts(docs: DataFrame, count, shards: int) -> DataFrame:
         if keys:
             yield from flush()
 
-    return docs.select("text").mapInArrow(rows, "shard int, keys binary, counts binary")
+    return docs.select("text").mapInArrow(tidy(rows), "shard int, keys binary, counts binary")
 
 
 class WordCount:
@@ -304,7 +304,7 @@ def scored(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns)], names)
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = cut(given.mapInArrow(rows, schema))
+    out = cut(given.mapInArrow(tidy(rows), schema))
     if model.vocabulary:
         removed(model.folder)
     return out

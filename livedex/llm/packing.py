@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, stored
+from .common import cut, slices, stored, tidy
 
 SEQUENCE = 1024
 END_ID = 2
@@ -82,7 +82,7 @@ def tokenized(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id:
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(pieces, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(pieces), schema)
 
 
 class Tightest:

@@ -20,12 +20,11 @@ import math
 import random
 import re
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import free, slices, tidy
 
 #: Kinds, in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -317,7 +316,7 @@ def found(docs: DataFrame, field: Field | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
     schema = f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
-    return docs.select("doc_id", "text").mapInArrow(rows, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(rows), schema)
 
 
 def without(text: str, field: Field) -> str:
@@ -335,10 +334,12 @@ def redacted(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced by marks; n_chars, where there is one, follows the text."""
     field = trained()
 
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: without(t, field) if isinstance(t, str) else None)
+    def clean(texts: pa.Array) -> pa.Array:
+        out = pa.array([None if t is None else without(t, field) for t in (x.as_py() for x in texts)], pa.string())
+        free()
+        return out
 
-    out = docs.withColumn("text", F.pandas_udf(clean, "string")(F.col("text")))
+    out = docs.withColumn("text", F.arrow_udf(clean, "string")(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

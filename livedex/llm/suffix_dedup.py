@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE, INVERSE, mixed, powers, slices, stored, utf8
+from .common import BASE, BYTE, INVERSE, mixed, powers, slices, stored, tidy, utf8
 
 LENGTH, ANCHOR = 400, 256
 #: Bytes of text that are hashed at a time; about a hundred bytes of memory each.
@@ -111,7 +111,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             at = ((place - ends[doc]) << 32) | ((place - first) << 24) | ((place - last) << 16) | np.array(sign, np.int64)[doc]
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(doc)), pa.array(at), pa.array(h.view(np.int64)), pa.array(whole.view(np.int64))], ["doc", "at", "h", "whole"])
 
-    return docs.where(F.octet_length("text") >= LENGTH).mapInArrow(rows, "doc long, at long, h long, whole long")
+    return docs.where(F.octet_length("text") >= LENGTH).mapInArrow(tidy(rows), "doc long, at long, h long, whole long")
 
 
 def window_rows(texts: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def window_rows(texts: DataFrame) -> DataFrame:
                 [batch.column("doc").take(pa.array(row[which])), pa.array(packed), pa.array(h[which].view(np.int64)), pa.array(w.view(np.int64)), pa.array(known[which])], ["doc", "at", "h", "w", "known"]
             )
 
-    return texts.mapInArrow(rows, "doc long, at long, h long, w long, known boolean")
+    return texts.mapInArrow(tidy(rows), "doc long, at long, h long, w long, known boolean")
 
 
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -191,4 +191,4 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text]
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return texts.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(rows, schema)
+    return texts.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(tidy(rows), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 SHARD_ROWS, PAGE_ROWS, QUERY_ROWS = 4096, 64, 1024
 SCALE = 64
@@ -173,7 +173,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, scale: int = SCALE)
                     ["query_id", "vec_id", "score", "part"],
                 )
 
-    found = pairs.mapInArrow(best, "query_id long, vec_id long, score long, part long")
+    found = pairs.mapInArrow(tidy(best), "query_id long, vec_id long, score long, part long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id", "part")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
