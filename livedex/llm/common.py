@@ -84,7 +84,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(batches, limit: int = 3_000_000, rows: int = 2048, column: str = "text"):
+def slices(batches, limit: int = 1_000_000, rows: int = 1024, column: str = "text"):
     """Arrow batches cut to at most `limit` bytes of text (a longer text stands alone) and `rows` rows, to bound memory."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -127,13 +127,13 @@ class Words:
     """64-bit hashes of the words of texts, by prefix sums of a polynomial; powers are kept for the next batch."""
 
     def __init__(self):
-        self.up, self.down = powers(BASE, 1 << 16), powers(INVERSE, 1 << 16)
+        self.up, self.down = powers(BASE, 1 << 20), powers(INVERSE, 1 << 20)
 
     def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' hashes in order, and the n+1 offsets of the texts among them."""
         n = len(data)
         if n >= len(self.up):
-            self.up, self.down = powers(BASE, 2 * n), powers(INVERSE, 2 * n)
+            self.up, self.down = powers(BASE, n + 1), powers(INVERSE, n + 1)
         solid = np.zeros(n + 2, bool)
         solid[1:-1] = ~WHITE[data]
         edge = solid[1:] != solid[:-1]

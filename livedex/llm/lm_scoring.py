@@ -158,7 +158,7 @@ def packed_counts(docs: DataFrame, count, shards: int) -> DataFrame:
                         [pa.array([int(s)], pa.int32()), pa.array([count.pack(key[piece])], pa.binary()), pa.array([n[piece].astype("<u4").tobytes()], pa.binary())], ["shard", "keys", "counts"]
                     )
 
-        for batch in slices(batches, rows=1 << 20):
+        for batch in slices(batches, 3_000_000, rows=1 << 20):
             key, n = np.unique(count(batch.column("text")), return_counts=True)
             keys.append(key)
             counts.append(n.astype(np.int64))
@@ -288,7 +288,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
     def rows(batches):
         words = Words()
-        for batch in slices(batches, rows=1 << 20):
+        for batch in slices(batches, 3_000_000, rows=1 << 20):
             token, ends = tokens(batch.column("text"), words)
             n = len(ends) - 1
             text = np.repeat(np.arange(n), np.diff(ends))
