@@ -16,6 +16,7 @@ table gives no rows.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 
@@ -32,6 +33,26 @@ END_ID = 2
 BUCKET_ROWS = 4096
 #: The byte-level vocabulary's pattern of pieces (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space this long are cut out before the pattern is applied: its look-ahead keeps a stack entry for each
+#: character of a run, a million at most.  The class is the pattern's \s, which differs from Python's.
+RUN = 100_000
+_WHITE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+_RUNS = re.compile(f"(?<!{_WHITE}){_WHITE}{{{RUN},}}+").finditer
+
+
+def merger(path: str, pattern: str):
+    """tiktoken's text -> ids, by the vocabulary of a tokenizer's file and a pattern of pieces."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    # Byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on.
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+    ranks = {bytes(byte_of[c] for c in token): k for token, k in vocabulary.items() if all(c in byte_of for c in token)}
+    ranks.pop(b"<|endoftext|>", None)
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 class Ids:
@@ -43,20 +64,25 @@ class Ids:
     """
 
     def __init__(self, path: str):
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        # Byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on.
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in printable]
-        byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
-        ranks = {bytes(byte_of[c] for c in token): k for token, k in vocabulary.items() if all(c in byte_of for c in token)}
-        ranks.pop(b"<|endoftext|>", None)
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode = merger(path, PATTERN)
+        self.path, self.whole = path, None
 
     def ids(self, text: str) -> bytes:
-        return array("I", self.encode(text)).tobytes()
+        out, at = array("I"), 0
+        for run in _RUNS(text) if len(text) >= RUN else ():
+            # The pattern makes one piece of a run, without its last character if other text follows.
+            end = run.end() - (run.end() < len(text))
+            out.extend(self.encode(text[at : run.start()]))
+            out.extend(self.piece(text[run.start() : end]))
+            at = end
+        out.extend(self.encode(text[at:] if at else text))
+        return out.tobytes()
+
+    def piece(self, text: str) -> list[int]:
+        """The ids of a text that is a single piece; few texts need this."""
+        if self.whole is None:
+            self.whole = merger(self.path, "(?s:.+)")
+        return self.whole(text)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

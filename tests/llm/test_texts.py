@@ -158,6 +158,22 @@ def test_packing(spark, odd):
     assert packing.packed(odd, path).count() >= odd.count() and packing.packed(odd.limit(0), path).count() == 0
 
 
+def test_ids_of_long_runs():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, ids = Tokenizer.from_file(path), packing.Ids(path)
+    same = lambda text: ids.ids(text) == np.asarray(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    n, r = packing.RUN, random.Random(4)
+    assert same(" " * 3_000_000) and same("a b" + " \n" * 1_000_000 + "c")
+    for k in (n - 1, n):
+        for before, white, after in (("it's", " ", "a"), ("x ", "\n ", ""), ("", "\t \u3000\x85", "\x1c9"), ("\x1f", " ", " 日本 ")):
+            assert same(before + (white * k)[:k] + after)
+    for _ in range(2):
+        assert same("".join(r.choice(("a", " ", "\n", "'s", "7", "\x1c", "é", " " * n, "\t" * n, "\xa0" * (n - 1))) for _ in range(12)))
+
+
 # -- n-gram Jaccard join
 
 
