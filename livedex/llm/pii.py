@@ -19,6 +19,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +31,9 @@ from .common import free, slices, tidy
 KINDS = ("email", "ip", "card", "phone")
 #: Most tokens of a segment, and the posterior that an added span needs.
 LONGEST, CONFIDENCE = 18, 0.9
+#: Characters of a passage that are scored at once, and those at a cut that the next window scores again: several of the
+#: longest numbers.
+WINDOW, MARGIN = 1024, 128
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+").match
@@ -90,7 +94,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]").finditer
 #: Passages worth a look: seven or more digits with few other characters between, and addresses in words.
-_NUMBERS = re.compile(r"(?<![0-9])[(+]?[0-9]{1,19}(?:[ ().\-/]{1,3}[0-9]{1,19}){1,8}").finditer
+_NUMBERS = re.compile(r"(?<![0-9])[(+]?[0-9]{1,19}(?:[ ().\-/]{1,3}[0-9]{1,19})+").finditer
+_NINE = re.compile(r"(?<![0-9])[(+]?[0-9]{1,19}(?:[ ().\-/]{1,3}[0-9]{1,19}){1,8}").finditer
 _WORDED = re.compile(r"(?i)(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[({]dot[\])}] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}").finditer
 _WORDED_WHOLE = re.compile(r"(?i)[A-Za-z0-9._%+ -]+ ?(?:\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]+(?:(?: ?[\[({]dot[\])}] ?| dot |\.)[A-Za-z0-9-]+)+").fullmatch
 _WORDED_HINT = re.compile(r"(?i)[\[({]at[\])}]| dot ").search
@@ -177,9 +182,9 @@ class Field:
             b[t] = _lse([b[t + 1], *(b[s[1]] + s[4] for s in starts.get(t, ()))])
         return a, b, ends
 
-    def best(self, text: str) -> list[tuple[int, int, str, float]]:
-        """The best segmentation's entities: (start, end, kind, posterior)."""
-        cuts = tokens(text)
+    def best(self, text: str, low: int = 0, high: int | None = None) -> list[tuple[int, int, str, float]]:
+        """The best segmentation's entities between two places: (start, end, kind, posterior).  Features see the whole text."""
+        cuts = [(low + a, low + b) for a, b in tokens(text[low:high])]
         scored = self.scored(candidates(text, cuts))
         if not scored:
             return []
@@ -274,21 +279,73 @@ def trained() -> Field:
     return Field().train(sentences())
 
 
+def remaining(taken: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int, int, int]]:
+    """What `taken` (disjoint, in order) leaves of a passage, each with the end of what is taken before and the start of
+    what is taken after it (0 and `end` or more, if nothing is)."""
+    k = bisect_right(taken, start, key=lambda s: s[1])
+    out, before = [], taken[k - 1][1] if k else 0
+    for a, b in taken[k:]:
+        if start < a:
+            out.append((start, min(end, a), before, a))
+        start = before = max(start, b)
+        if a >= end or start >= end:
+            return out
+    return [*out, (start, end, before, 1 << 62)] if start < end else out
+
+
+def windowed(text: str, low: int, high: int, field: Field):
+    """field.best() of a stretch of any length, in windows that overlap, so that memory is bounded."""
+    at = low
+    while high - at > WINDOW + MARGIN:
+        safe = at + WINDOW
+        while text[safe - 1].isalnum() and text[safe].isalnum() and safe > at + WINDOW // 2:
+            safe -= 1
+        follows = safe
+        for span in field.best(text, max(low, at - MARGIN), safe + MARGIN):
+            if at <= span[0] and span[1] <= safe:
+                yield span
+            elif at < span[0] < safe:
+                follows = span[0]
+        at = follows
+    yield from (span for span in field.best(text, max(low, at - MARGIN), high) if span[0] >= at)
+
+
+def worth(number: str) -> bool:
+    return sum(c.isdigit() for c in number) >= 7 or number.strip(" ().-/").count(".") == 3
+
+
 def added_spans(text: str, base: list[tuple[int, int, str]], field: Field, confidence: float = CONFIDENCE) -> list[tuple[int, int, str]]:
     """The field's spans in the passages of `text` that may hold one, apart from the base spans."""
     passages = []
     if _DIGIT(text):
-        passages += [m.span() for m in _NUMBERS(text) if sum(c.isdigit() for c in m[0]) >= 7 or m[0].count(".") == 3]
+        passages += [(*m.span(), True) for m in _NUMBERS(text) if worth(m[0])]
     if _WORDED_HINT(text):
-        passages += [m.span() for m in _WORDED(text)]
+        passages += [(*m.span(), False) for m in _WORDED(text)]
+    taken: list[tuple[int, int]] = []
+    for start, end, _ in base if passages else ():  # spans of different kinds may overlap
+        if taken and start < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(end, taken[-1][1])
+        else:
+            taken.append((start, end))
     out: list[tuple[int, int, str]] = []
-    for start, end in sorted(passages):
-        if any(a < end and start < b for a, b, _ in base) or out and start < out[-1][1]:
-            continue
-        low, high = max(0, start - 24), min(len(text), end + 8)
-        for a, b, kind, sure in field.best(text[low:high]):
-            if sure >= confidence and not any(x < low + b and low + a < y for x, y, _ in [*base, *out]):
-                out.append((low + a, low + b, kind))
+
+    def add(spans) -> None:
+        for a, b, kind, sure in spans:
+            if sure >= confidence and [(a, b)] == [r[:2] for r in remaining(taken, a, b)]:
+                insort(taken, (a, b))
+                out.append((a, b, kind))
+
+    given = list(taken)
+    for start, end, number in sorted(passages):
+        for first, last, before, after in remaining(taken, start, end):
+            if not number or worth(text[first:last]):
+                add(windowed(text, max(before, first - 24), min(len(text), last + 8, after), field))
+        nine = [m.span() for m in _NINE(text, start, end)] if number else []
+        if len(nine) > 1:  # of a long list, nine groups also on their own: fewer readings compete with the right one
+            for a, b in nine:
+                if worth(text[a:b]) and [(a, b)] == [r[:2] for r in remaining(given, a, b)]:
+                    low = max(0, a - 24)
+                    add((low + x, low + y, kind, sure) for x, y, kind, sure in field.best(text[low : b + 8]))
     return out
 
 

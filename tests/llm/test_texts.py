@@ -379,3 +379,16 @@ def test_personal_data(spark, odd):
     row = clean.where("doc_id = 50").first()
     assert row["text"] == "é mail [EMAIL], [PHONE] [CARD] call [PHONE] on 2021-03-04 or [EMAIL]" and row["n_chars"] == len(row["text"])
     assert pii.found(odd.limit(0)).count() == 0
+
+
+def test_personal_data_beside_base_spans_and_in_long_lists():
+    field = pii.trained()
+    added = lambda text: [text[a:b] for a, b, _ in sorted(pii.added_spans(text, pii.base_spans(text), field))]
+    assert added("Tel +1 555 123 4567 / 555-987-6543") == ["555-987-6543"]
+    assert added("call 555-987-6543 +1 555 123 4567") == ["555-987-6543"]
+    assert added("call 10.0.0.1 555-987-6543 10.0.0.2 (605) 555-9305") == ["555-987-6543", "(605) 555-9305"]
+    assert added("24.66.114.173 4808200777490071 is") == ["4808200777490071"]
+    for n in (4, 200):  # more than nine groups, and more than a window
+        numbers = [f"({200 + k}) {999 - k}-{4000 + 29 * k}" for k in range(n)]
+        assert added("call " + " / ".join(numbers)) == numbers and added("call 12 34 " + " - ".join(numbers)) == numbers
+    assert pii.without("Tel +1 555 123 4567 / 555-987-6543", field) == "Tel [PHONE] / [PHONE]"
