@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -18,7 +20,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are wide rows: Python gets a thousand at a time, unless the session asks for another number than the default."""
+    """Texts are wide rows: Python gets a thousand at a time, unless the session asks for another number than the default.
+
+    Spark reads this setting when a plan runs, so it can't be taken back before; only the registered queries and the
+    pipeline's stages set it, in the session that they are given, and the operators leave settings alone.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, "1000")
@@ -30,26 +36,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local master, where there is one machine,
+    gets a temporary one if that is unset."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
-        conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="livedex-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="livedex-"))
         found = sc.getCheckpointDir()
     return found
 
 
+#: Folders that this process has written and that still stand.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """The rows as Parquet in the shared folder, read back: no recomputation, and no lineage to lose with an executor."""
+    """The rows as Parquet in the shared folder, read back: no recomputation, and no lineage to lose with an executor.
+
+    A result may be read from such folders later, so they stand until dropped() or cleared() deletes them; cleared() is
+    called when the program ends.
+    """
     path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote for these, which nothing may read any more."""
+    for df in frames:
+        deleted(df.sparkSession, df.stored_at)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.pop(path, None)
+
+
+@atexit.register
+def cleared() -> None:
+    """Deletes everything that this process has written to shared folders: call it when no result is read any more."""
+    for path, spark in list(_WRITTEN.items()):
+        with contextlib.suppress(Exception):  # the session may have ended first, and its folders with it
+            deleted(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
