@@ -7,7 +7,8 @@ equal bins are placed together, so the plan has a few thousand entries whatever
 bin and its place off the plan by its rank among the pieces of its length.
 
 Ranks need no global sort: pieces of a length are dealt over buckets of a few thousand rows, bucket counts are summed
-per length, and rows are ranked inside their bucket.
+per length, and rows are ranked inside their bucket.  The plan is joined by length, and a rank's step is the one whose
+ranks it lies in, so placing is a join without Python.
 
 Defined results: a null text is empty and gives one piece, the end token; repeated rows are separate pieces; an empty
 table gives no rows.
@@ -15,13 +16,13 @@ table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,15 +60,25 @@ class Ids:
     """Text -> its ids as little-endian unsigned 32-bit integers.
 
     The vocabulary is read from the tokenizer's file; tiktoken merges the bytes, four times faster than the library
-    that the file is made for, and gives the same ids (a test compares them).  Strings of special tokens are ordinary
-    text.
+    that the file is made for, and gives the same ids (a test compares them).  As in that library, a string of an added
+    token in a text is that token's id, and the stretches between are texts of their own.
     """
 
     def __init__(self, path: str):
         self.encode = merger(path, PATTERN)
         self.path, self.whole = path, None
+        with open(path, encoding="utf-8") as f:
+            self.added = {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
 
     def ids(self, text: str) -> bytes:
+        if not any(token in text for token in self.added):
+            return self.plain(text)
+        # Every other part is an added token.
+        return b"".join(array("I", [self.added[part]]).tobytes() if k % 2 else self.plain(part) for k, part in enumerate(self.split(text)))
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         out, at = array("I"), 0
         for run in _RUNS(text) if len(text) >= RUN else ():
             # The pattern makes one piece of a run, without its last character if other text follows.
@@ -85,13 +96,19 @@ class Ids:
         return self.whole(text)
 
 
+@functools.cache
+def ids_of(path: str) -> Ids:
+    """A process builds its vocabulary once, however many tasks it runs."""
+    return Ids(path)
+
+
 def tokenized(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of documents: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary, 4 bytes each)."""
     end = np.asarray([end_id], "<u4").tobytes()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def pieces(batches):
-        model = Ids(tokenizer)
+        model = ids_of(tokenizer)
         for batch in slices(batches):
             at_row, rows = [], []
             for i, text in enumerate(batch.column("text")):
@@ -182,26 +199,27 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     spark = pieces.sparkSession
     if not steps:
         return pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+    # Both tables are as long as the plan: a few rows for each of at most `sequence` lengths.
     buckets = F.broadcast(spark.createDataFrame([(n, -(-c // BUCKET_ROWS)) for n, c in histogram.items()], "at_length long, buckets long"))
     dealt = pieces.join(buckets, F.col("length") == F.col("at_length")).drop("at_length")
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets"))).drop("buckets")
+    # With all that tells pieces apart, so that rows without doc_id don't meet in one bucket.
+    known = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64(*known), F.col("buckets"))).drop("buckets")
     along = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(F.col("length").alias("l"), F.col("bucket").alias("b"), (F.sum("n").over(along) - F.col("n")).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "bucket").orderBy(*known)
     ranked = dealt.join(counts, (F.col("length") == F.col("l")) & (F.col("bucket") == F.col("b"))).drop("l", "b")
     ranked = ranked.withColumn("rank", F.col("before") + F.row_number().over(own) - 1).drop("before", "bucket")
-    columns = [np.array(c, np.int64) for c in zip(*sorted(steps), strict=True)]
-    keys = (columns[0] << 48) | columns[1]
-
-    def step_of(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(keys, (length.to_numpy(np.int64) << 48) | rank.to_numpy(np.int64), "right") - 1
-        past = rank.to_numpy(np.int64) - columns[1][at]
-        each = columns[3][at]
-        return pd.DataFrame({"sequence_id": columns[2][at] + past // each, "offset": columns[4][at] + past % each * length.to_numpy(np.int64)})
-
-    place = F.pandas_udf(step_of, "sequence_id long, offset long")
-    return ranked.withColumn("put", place("length", "rank")).select(*pieces.columns, "put.sequence_id", "put.offset")
+    ends = {}
+    for length, rank, *_ in sorted(steps, reverse=True):
+        ends[length, rank] = ends.get(length, histogram[length])
+        ends[length] = rank
+    rows = [(*step, ends[step[:2]]) for step in steps]
+    step = F.broadcast(spark.createDataFrame(rows, "of_length long, first_rank long, first_bin long, each long, at long, end_rank long"))
+    placed = ranked.join(step, (F.col("length") == F.col("of_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
+    past = F.col("rank") - F.col("first_rank")
+    return placed.select(*pieces.columns, (F.col("first_bin") + F.floor(past / F.col("each"))).alias("sequence_id"), (F.col("at") + past % F.col("each") * F.col("length")).alias("offset"))
 
 
 def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

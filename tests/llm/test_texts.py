@@ -140,8 +140,7 @@ def test_packing(spark, odd):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    strange = frame(spark, [(20, "a\t\n\nb  c　d it's <|endoftext|> \x1c 日本 ", "x", "x", 1)])
+    strange = frame(spark, [(20, "a\t\n\nb  c　d it's <|endoftext|> \x1c 日本 <|endoftext|><|endoftext|>", "x", "x", 1)])
     docs = odd.where("doc_id IS NOT NULL").unionByName(strange)
     out = packing.packed(docs, path, with_ids=True)
     rows = out.collect()
