@@ -26,18 +26,18 @@ from .common import cut
 #: Role -> what opens and closes its turn.
 TURNS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("[ROLE]", "[TEXT]", "[/ROLE]")
-_FIRST = "<|\\["
-_REST = "/?s>|/?INST\\]|</?SYS>>|/?ROLE\\]|TEXT\\]"
+#: First character and rest of the control strings, by the first character.
+_CONTROL = (("<", "/?s>|</?SYS>>"), ("\\[", "/?INST\\]|/?ROLE\\]|TEXT\\]"))
 
 
 def escaped(text: Column) -> Column:
     doubled = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
-    return F.regexp_replace(doubled, f"({_FIRST})(?={_REST})", "$1\\\\")
+    return F.regexp_replace(doubled, "|".join(f"{first}(?={rest})" for first, rest in _CONTROL), "$0\\\\")
 
 
 def unescaped(text: Column) -> Column:
     # Doubled backslashes come in even runs, so one backslash between a first character and a rest is an escape.
-    plain = F.regexp_replace(text, f"({_FIRST})\\\\(?={_REST})", "$1")
+    plain = F.regexp_replace(text, "|".join(f"(?<={first})\\\\(?={rest})" for first, rest in _CONTROL), "")
     return F.replace(plain, F.lit("\\\\"), F.lit("\\"))
 
 
@@ -104,10 +104,12 @@ def formatted(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     `formatted` is the conversation's text; `loss_spans` are the (start, length) of its parts under the loss mask, in
     code points.
     """
-    known = messages.select(F.col("id").alias("parent")).where("parent IS NOT NULL").distinct().withColumn("found", F.lit(True))
-    nodes = messages.groupBy("id").agg(F.min("parent").alias("parent"), F.max("score").alias("score")).where("id IS NOT NULL")
-    nodes = nodes.join(known, "parent", "left").select("id", F.when(F.col("found"), F.col("parent")).alias("parent"), "score")
-    nodes = cut(nodes)
+    messages = cut(messages.select("id", "parent", "role", "text", "score").where("id IS NOT NULL"))
+    nodes = cut(messages.groupBy("id").agg(F.min("parent").alias("parent"), F.max("score").alias("score")))
+    # Only replies look for their parent: roots have none, and would all meet under one key.
+    replies = nodes.where("parent IS NOT NULL").join(nodes.select(F.col("id").alias("parent"), F.lit(True).alias("found")), "parent", "left")
+    replies = replies.select("id", F.when(F.col("found"), F.col("parent")).alias("parent"), "score")
+    nodes = cut(nodes.where("parent IS NULL").select("id", "parent", "score").unionByName(replies))
     walk = paths(nodes, per_tree)
     turns = messages.select("id", "role", "text")
     turns = turns.select(

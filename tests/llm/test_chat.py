@@ -59,3 +59,30 @@ def test_conversations(spark):
     assert out[2]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest()
     assert out[3]["n_turns"] == 2 and out[3]["turns_sha256"] == hashlib.sha256(b"user\n" + b"x" * 100_000 + b"\nassistant\n\n").hexdigest()
     assert cf.digests(df.limit(0)).count() == 0
+
+
+def test_same_as_sql_on_odd_control_strings(spark):
+    import duckdb
+    import pandas as pd
+
+    texts = ["a <INST] b", "[s> <TEXT]", "<<SYS>> <</s> [/ROLE] [[TEXT]", "\\<s>\\", "<\\s>", "", None]
+    rows = pd.DataFrame([(k, t, role, x) for k in range(9) for t, x in enumerate(texts) for role in (["user", "assistant"][t % 2],)], columns=["conv_id", "turn", "role", "text"])
+    con = duckdb.connect()
+    con.register("conversations", rows)
+    want = con.execute(cf.ORACLE).df().sort_values("conv_id").reset_index(drop=True)
+    extra = [(-1, t, role, "</s>[INST] ok [/INST]") for t, role in enumerate(("user", "assistant"))]
+    df = spark.createDataFrame([tuple(None if x is None else x for x in r) for r in rows.itertuples(index=False)] + extra, "conv_id long, turn long, role string, text string")
+    got = cf.digests(df).toPandas().sort_values("conv_id").reset_index(drop=True)
+    assert (got[sorted(got.columns)].values == want[sorted(want.columns)].values).all()
+
+
+def test_columns_with_other_names_dont_clash(spark):
+    rows = [("a", None, "user", "x", 1.0), ("b", "a", "assistant", "y", 1.0)]
+    df = spark.createDataFrame(rows, "id string, parent string, role string, text string, score double")
+    for name in ("root", "depth", "leaf", "branch", "step", "place", "end", "head", "body", "tail", "plain", "found", "up", "top", "n"):
+        df = df.withColumn(name, F.lit("clash"))
+    assert [x["formatted"] for x in cf.formatted(df).collect()] == ["[INST]x[/INST]<s>y</s>"]
+    conversations = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    for name in ("root", "id", "score", "parent", "n", "key", "turns", "loss"):
+        conversations = conversations.withColumn(name, F.lit("clash"))
+    assert cf.digests(conversations).first()["n_turns"] == 1
