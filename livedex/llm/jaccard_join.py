@@ -12,8 +12,10 @@ task of its own.  A task returns one row per node with a link: the number of doc
 root of a spanning forest of the links.  Pairs are never written.
 
 Defined results: words are runs of other bytes than white space; a text of one to four words is one shingle of all its
-words; a null text, or one without words, links with nothing and is its own class; doc_id identifies a document, rows
-that repeat one are copies, and rows without doc_id link with nothing; other columns don't matter.
+words; a null text, or one without words, links with nothing and is its own class; every row is a document, also where
+rows share a doc_id (each has the class and the links of its own text); rows without doc_id link with nothing; other
+columns don't matter.  Of a class, representatives() keeps one row: that of the least doc_id, and of its texts the one
+with the least hash.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BANDS, ROWS = 32, 5
 #: Values that candidates compare, how many at a time, and the posterior below which a pair is dropped.
 COMPARED, STEP, TOLERANCE = 128, 16, 1e-7
 BLOCK = 512
+#: Shingles that a task over small components is meant to hold.
+TASK = 250_000
 
 _RNG = np.random.default_rng(99)
 _BAND = (_RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1), _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32))
@@ -71,25 +75,43 @@ def minhash(shingles: np.ndarray, family) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key1 and key2 of the document's set, and a hash per band (binary) of every document with words."""
+    """doc_id, a hash of the text, key1 and key2 of the document's set, its size, and a hash per band (binary), of every document with words."""
 
     def rows(batches):
         words = Words()
         for batch in slices(batches):
-            keep, keys, bands = [], [], []
+            keep, keys, sizes, bands = [], [], [], []
             for i, s in enumerate(shingle_sets(batch.column("text"), words)):
                 if len(s):
                     keep.append(i)
+                    sizes.append(len(s))
                     low, high = s.sum(dtype=np.uint64), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
                     keys.append(mixed(np.array([low + np.uint64(len(s)), high], np.uint64)))
                     m = minhash(s, _BAND).astype(np.uint64).reshape(BANDS, ROWS)
                     bands.append(mixed((m * _PLACE[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _PLACE[ROWS]).tobytes())
             if keep:
                 k = np.stack(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep)), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(bands, pa.binary())], ["doc_id", "key1", "key2", "bands"])
+                at = pa.array(keep)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(at), batch.column("hash").take(at), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(sizes, pa.int64()), pa.array(bands, pa.binary())], ["doc_id", "hash", "key1", "key2", "shingles", "bands"]
+                )
 
-    given = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return given.mapInArrow(tidy(rows), "doc_id long, key1 long, key2 long, bands binary")
+    given = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    return given.mapInArrow(tidy(rows), "doc_id long, hash long, key1 long, key2 long, shingles long, bands binary")
+
+
+def numbered(sign: DataFrame) -> DataFrame:
+    """One row per set: key1, key2, node, weight (documents), doc (least doc_id), hash (of that document's text), shingles, bands.
+
+    A set's node is its least doc_id.  Where sets share that, because rows of one doc_id have different texts, all but
+    the one of the least key get a number made from their key, above every doc_id that is less than 2^62.
+    """
+    one = F.min(F.struct("doc_id", "hash"))
+    nodes = cut(sign.groupBy("key1", "key2").agg(one.alias("one"), F.count(F.lit(1)).alias("weight"), F.min("shingles").alias("shingles"), F.min("bands").alias("bands")))
+    shared = nodes.groupBy(F.col("one.doc_id").alias("doc")).agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("key1", "key2")).alias("first")).where("sets > 1").select("doc", "first")
+    out = nodes.select("key1", "key2", F.col("one.doc_id").alias("doc"), F.col("one.hash").alias("hash"), "weight", "shingles", "bands").join(cut(shared), "doc", "left")
+    other = F.col("first").isNotNull() & (F.struct("key1", "key2") != F.col("first"))
+    return cut(out.withColumn("node", F.when(other, F.xxhash64("key1", "key2").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)).otherwise(F.col("doc"))).drop("first"))
 
 
 def stars(nodes: DataFrame) -> DataFrame:
@@ -101,7 +123,7 @@ def stars(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), BANDS)), pa.array(h)], ["node", "bucket"])
 
     dealt = nodes.select("node", "bands").mapInArrow(tidy(buckets), "node long, bucket long")
-    shared = dealt.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("bucket", "a")
+    shared = cut(dealt.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("bucket", "a"))
     return dealt.join(shared, "bucket").where("node > a").select("a", F.col("node").alias("b")).distinct()
 
 
@@ -182,8 +204,8 @@ def similar(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> tuple[np.nd
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, links: documents it links with, root: a node it is connected with), a few rows per node."""
     parts = cut(components(stars(nodes)))
-    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.join(sizes, "component").join(nodes.select(F.col("node").alias("id"), "weight"), "id")
+    sizes = cut(parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    parts = parts.join(sizes, "component").join(nodes.select(F.col("node").alias("id"), "weight", "doc", "hash", "shingles"), "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     parts = parts.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
 
@@ -193,11 +215,12 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             found = [s.tobytes() for s in shingle_sets(batch.column("text"), words)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "id", "weight", "blocks", "block")), pa.array(found, pa.binary())], ["component", "id", "weight", "blocks", "block", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    whole = parts.join(texts, "id").select("component", "id", "weight", "blocks", "block", "text")
+    # A task takes whole components of about TASK shingles in all, so that a few very long texts don't meet in one.
+    groups = max(16, (parts.agg(F.sum("shingles")).first()[0] or 0) // TASK)
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"), "text")
+    whole = parts.join(texts, ["doc", "hash"]).select("component", "id", "weight", "blocks", "block", "text")
     whole = whole.mapInArrow(tidy(sets), "component long, id long, weight long, blocks long, block long, shingles binary").where(F.length("shingles") > 0)
     # A component of one block goes to a task with others like it; one of more blocks has a task for each pair of them.
-    groups = max(16, nodes.count() // 3000)
     small = whole.where("blocks = 1").select(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("g"), F.lit(-1).cast("long").alias("x"), F.lit(-1).cast("long").alias("y"), "component", "id", "weight", "block", "shingles")
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     large = whole.where("blocks > 1").withColumn("other", F.explode(others)).select(
@@ -232,15 +255,27 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut(small.unionByName(large).groupBy("g", "x", "y").applyInArrow(compare, "node long, links long, root long"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id reachable by links), n_links."""
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signed documents, and (key1, key2, class_id, n_links, doc, hash) of every set."""
     sign = stored(signed(docs), "signed")
-    nodes = cut(sign.groupBy("key1", "key2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.min("bands").alias("bands")))
+    nodes = numbered(sign)
     found = links(docs, nodes)
-    sums = found.groupBy("node").agg(F.sum("links").alias("links"))
-    parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
-    known = nodes.select("key1", "key2", "node", "weight").join(sums, "node", "left").join(parts, "node", "left")
-    known = known.select("key1", "key2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("class_id"))
+    sums = cut(found.groupBy("node").agg(F.sum("links").alias("links")))
+    parts = cut(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node"))
+    # A component's least node is its least doc_id, unless that is one of the numbers made from keys.
+    known = nodes.select("key1", "key2", "node", "weight", "doc", "hash").join(sums, "node", "left").join(parts, "node", "left")
+    component, weight = F.coalesce("component", "node"), F.col("weight") - 1
+    known = cut(known.select("key1", "key2", component.alias("component"), component.alias("class_id"), (F.coalesce("links", F.lit(0)) + weight).alias("n_links"), "doc", "hash"))
+    made = known.where(F.col("component") >= 1 << 62)
+    if not made.isEmpty():
+        least = cut(made.groupBy("component").agg(F.min("doc").alias("class_id")))
+        known = known.where(F.col("component") < 1 << 62).unionByName(made.drop("class_id").join(least, "component"))
+    return sign, known
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, class_id (the least doc_id reachable by links), n_links."""
+    sign, known = classified(docs)
     linked = sign.select("doc_id", "key1", "key2").join(known, ["key1", "key2"]).select("doc_id", "class_id", "n_links")
     alone = docs.where(F.col("doc_id").isNull() | F.coalesce(~F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(True)))
     alone = alone.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
@@ -248,7 +283,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each class left: that of the least doc_id.  Rows without doc_id stay."""
-    stay = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["stay"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """The documents with one row of each class left.  Rows without doc_id, and without words, stay."""
+    _, known = classified(docs)
+    stay = cut(known.groupBy("component").agg(F.min(F.struct("doc", "hash")).alias("one")).select(F.col("one.doc").alias("stay"), F.col("one.hash").alias("by")))
+    worded = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    key = ["own doc_id", "own hash"]  # one exchange of the texts serves the join and the choice of a row
+    own = docs.where(worded).withColumns({key[0]: F.col("doc_id").cast("long"), key[1]: F.xxhash64("text")})
+    kept = own.join(stay.toDF(*key), key, "left_semi").dropDuplicates(key).drop(*key)
+    return kept.select(*docs.columns).unionByName(docs.where(~worded))

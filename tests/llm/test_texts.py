@@ -221,6 +221,17 @@ def test_jaccard_join(spark, odd):
     assert jaccard_join.classes(odd.limit(0)).count() == 0
 
 
+def test_rows_that_share_a_doc_id_keep_their_texts(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z aa bb cc dd ee ff gg hh ii jj"
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (1, "h i j k l m n"), (2, "z"), (3, near), (3, near + " kk"), (4, near + " kk ll"), (5, "h i j k l m n"), (6, " "), (None, "z")]
+    docs = frame(spark, [(k, t, "en", "s", 1) for k, t in rows])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in jaccard_join.representatives(docs).collect()) in (
+        sorted([(0, "z"), (1, "a b c d e f g"), (1, "h i j k l m n"), (2, "z"), (3, text), (6, " ")]) for text in (near, near + " kk")
+    )
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.classes(docs).collect() if r["doc_id"])
+    assert got == [(1, 1, 0), (1, 1, 2), (1, 1, 2), (2, 2, 0), (3, 3, 2), (3, 3, 2), (4, 3, 2), (5, 1, 2), (6, 6, 0)]
+
+
 def test_posterior_keeps_what_could_be_similar():
     assert all(least < n * 0.8 for least, n in zip(jaccard_join._LEAST, range(16, 129, 16), strict=True))
     a = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 900, np.uint64))
