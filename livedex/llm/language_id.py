@@ -1,6 +1,6 @@
 """Language identification with error-correcting output codes.
 
-Every language has a codeword of bits.  One binary classifier per bit (logistic regression on hashed byte n-grams)
+Every language has a codeword of bits, longer the more languages there are, so that codewords stay apart.  One binary classifier per bit (logistic regression on hashed byte n-grams)
 predicts it; a text gets the language whose codeword has the least loss under the classifiers' margins, each bit
 weighted by how well it was learned.  The score is the softmax of the negative losses, and a text whose best two
 languages are closer than a tolerance is flagged as ambiguous.
@@ -55,15 +55,14 @@ def features(texts) -> np.ndarray:
     s = _SYMBOL[data]
     counts = np.zeros((n, DIMENSIONS), np.float32)
     shift = np.uint32(32 - DIMENSIONS.bit_length() + 1)
-    if len(s) > 4:
-        gram = s[:-1] * np.uint32(257) + s[1:]
-        for width in (2, 3, 4):
-            if width > 2:
-                gram = gram[:-1] * np.uint32(0x01000193) + s[width - 1 :]
-            cell = (gram * np.uint32(0x9E3779B1)) >> shift
-            first = rows[: len(gram)]
-            inside = first == rows[width - 1 :]
-            counts += np.bincount((first * DIMENSIONS + cell)[inside], minlength=n * DIMENSIONS).reshape(n, DIMENSIONS)
+    for width in (2, 3, 4):
+        if len(s) < width:
+            break
+        gram = s[:-1] * np.uint32(257) + s[1:] if width == 2 else gram[:-1] * np.uint32(0x01000193) + s[width - 1 :]
+        cell = (gram * np.uint32(0x9E3779B1)) >> shift
+        first = rows[: len(gram)]
+        inside = first == rows[width - 1 :]
+        counts += np.bincount((first * DIMENSIONS + cell)[inside], minlength=n * DIMENSIONS).reshape(n, DIMENSIONS)
     total = counts.sum(1, keepdims=True)
     np.sqrt(np.divide(counts, total, out=counts, where=total > 0), out=counts)
     return counts
@@ -79,28 +78,40 @@ def lettered(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def codewords(languages: int, bits: int = BITS) -> np.ndarray:
+def bits_for(languages: int) -> int:
+    """Bits of a codeword: more languages need longer ones to stay as far apart."""
+    return BITS + 6 * max(0, (languages - 1).bit_length() - 2)
+
+
+def codewords(languages: int) -> np.ndarray:
     """Rows of +1 and -1: of many random codes, the one whose closest rows differ most; no column is constant."""
-    rng = np.random.default_rng(7)
+    rng, bits = np.random.default_rng(7), bits_for(languages)
     best, most = None, -1
-    for _ in range(2000):
+    for _ in range(max(50, 2000 // max(1, languages // 8))):
         code = rng.choice([-1, 1], (languages, bits))
         if (np.abs(code.sum(0)) == languages).any() and languages > 1:
             continue
-        apart = min([((code[a] != code[b]).sum()) for a in range(languages) for b in range(a)], default=bits)
+        alike = (code @ code.T).astype(np.float64)  # bits that agree less bits that differ
+        np.fill_diagonal(alike, -bits)
+        apart = int(bits - alike.max(initial=-bits)) // 2
         if apart > most:
             best, most = code, apart
     return best if best is not None else np.where(np.arange(bits) % languages == np.arange(languages)[:, None], 1, -1)
 
 
+def decoded(margin: np.ndarray, code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The loss of each language (columns) for each text: over the bits, weight * log(1 + exp(-margin * bit))."""
+    return (np.logaddexp(0, -margin[:, None, :] * code) * weight).sum(2)
+
+
 class Model:
     """Languages, their codewords, and the classifiers' weights and bit weights."""
 
     def __init__(self, languages: list[str], x: np.ndarray, y: np.ndarray):
         self.languages = languages
         self.code = codewords(len(languages)) if languages else np.zeros((0, BITS), int)
-        self.w, self.b = np.zeros((DIMENSIONS, BITS), np.float32), np.zeros(BITS, np.float32)
-        self.bits = np.ones(BITS)
+        bits = self.code.shape[1]
+        self.w, self.b, self.bits = np.zeros((DIMENSIONS, bits), np.float32), np.zeros(bits, np.float32), np.ones(bits)
         if len(languages) > 1:
             self.fit(x, self.code[y].astype(np.float32), np.bincount(y, minlength=len(languages))[y])
 
@@ -126,8 +137,7 @@ class Model:
         if k == 1:
             names[known], score[known] = self.languages[0], 1.0
         elif k and known.any():
-            margin = (features(texts) @ self.w + self.b).astype(np.float64)[:, None, :] * self.code
-            loss = (np.logaddexp(0, -margin) * self.bits).sum(2)
+            loss = decoded((features(texts) @ self.w + self.b).astype(np.float64), self.code, self.bits)
             order = np.argsort(loss, 1, kind="stable")
             best, next_ = (np.take_along_axis(loss, order[:, i : i + 1], 1)[:, 0] for i in (0, 1))
             share = 1 / np.exp(best[:, None] - loss).sum(1)
@@ -138,13 +148,14 @@ class Model:
 
 
 def fitted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Learns from the labelled documents that aren't held out, at most about `per_language` of each language."""
+    """Learns from the labelled documents that aren't held out: of each language `per_language` are expected, drawn by a
+    hash of doc_id and text."""
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
     wanted = F.lit(False)
     for name in languages:
         wanted |= (F.col("lang") == name) & (draw < F.lit(int(min(1.0, per_language / sizes[name]) * (1 << 20))))
@@ -155,7 +166,8 @@ def fitted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array([r.tobytes() for r in whole], pa.binary())], ["lang", "doc_id", "f"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = labelled.where(wanted).mapInArrow(tidy(rows), f"lang string, doc_id {kind}, f binary").collect()
+    # Rows that repeat one have its draw too; one of them is enough, so that the sample stays bounded.
+    found = labelled.where(wanted).mapInArrow(tidy(rows), f"lang string, doc_id {kind}, f binary").distinct().collect()
     found.sort(key=lambda r: (r["lang"], r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["f"])))
     x = np.frombuffer(b"".join(bytes(r["f"]) for r in found), "<u2").reshape(-1, DIMENSIONS).astype(np.float32) / 8192
     y = np.array([languages.index(r["lang"]) for r in found], int)
