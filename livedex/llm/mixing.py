@@ -9,17 +9,23 @@ words of a source.  A document's place is found without sorting a source in one
 bucket) are summed along the source, and only the at most few thousand rows of a bucket are ranked.  A source that
 holds a third of the rows is just more buckets.
 
-Defined results: a null or empty text has size 0 and takes part with 0 words; a null source is a source, the last;
-a null doc_id is an id; repeated rows are separate documents; an empty table gives no rows; columns other than the
-three named ones don't matter unless asked for by `keep`.
+Words are counted once, into a table without texts.  mixed_documents() numbers the rows first, and joins the copies by
+that number, so texts go through one exchange, and no key has more than one row.
+
+Defined results: a null or empty text has size 0 and takes part with 0 words; a null source is a source, the last; rows
+without doc_id are told apart by their text; repeated rows are separate documents; an empty table gives no rows; other
+columns than the three named ones don't matter.
 """
 
 from __future__ import annotations
 
+import contextlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, stored
 
 #: Rows that one ranking bucket is meant to hold.
 BUCKET_ROWS = 4096
@@ -54,13 +60,14 @@ def mix(
     cap: float = 2.0,
     seed: int = 1,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken and the columns in `keep`."""
+    """One row per document: doc_id, source, size, source_size, target, copies, taken and the (narrow) columns in `keep`."""
+    number = F.col("doc_id").cast("long")
+    spread = F.when(number.isNotNull(), F.pmod(number, F.lit(1 << 31))).otherwise(F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 7), 16, 10).cast("long"))
     sized = docs.select(
-        F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.pmod(spread * F.lit(2654435761), F.lit(1 << 32)).alias("spread"),
         *([F.struct(*keep).alias("kept")] if keep else []),
     )
-    if not keep:
-        sized = cut(sized)
+    sized = cut(sized)
     octave = F.length(F.bin("size")) - 1
     step = F.floor(F.col("size") * 8 / F.pow(F.lit(2.0), octave)).cast("int")
     band = F.when(F.col("size") == 0, F.lit(-1)).otherwise(octave * 8 + step - 8)
@@ -72,13 +79,12 @@ def mix(
         F.col("source").alias("s"), F.col("band").alias("b"), F.ceil(F.col("n") / BUCKET_ROWS).cast("long").alias("buckets"), "source_size", "target"
     )
     placed = sized.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("band") == F.col("b"))).drop("s", "b")
-    spread = F.pmod(F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(1 << 31)) * F.lit(2654435761), F.lit(1 << 32))
-    placed = placed.withColumn("bucket", F.pmod(F.floor(spread / 256), F.col("buckets")))
+    placed = placed.withColumn("bucket", F.pmod(F.floor(F.col("spread") / 256), F.col("buckets")))
     counts = placed.groupBy("source", "band", "bucket").agg(F.count(F.lit(1)).alias("n"))
     along = Window.partitionBy("source").orderBy(F.col("band").desc(), "bucket").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.select(F.col("source").alias("s"), F.col("band").alias("b"), F.col("bucket").alias("k"), (F.sum("n").over(along) - F.col("n")).alias("before"))
     placed = placed.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("band") == F.col("b")) & (F.col("bucket") == F.col("k"))).drop("s", "b", "k")
-    own = Window.partitionBy("source", "band", "bucket").orderBy("doc_id", "size")
+    own = Window.partitionBy("source", "band", "bucket").orderBy("doc_id", "size", "spread")
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     start = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / float(1 << 32)
     each = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.col("target") / F.col("source_size"))
@@ -88,16 +94,37 @@ def mix(
     return placed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["kept"] if keep else []))
 
 
+def scanned(docs: DataFrame) -> bool:
+    """Whether each row stands for one row of a file: only projections and filters above one scan."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, "own file" and "own row": the place in the file that they are read from.  Rows
+    that don't come straight from Parquet files are written first."""
+    place = [F.xxhash64("_metadata.file_path").alias("own file"), F.col("_metadata.row_index").alias("own row")]
+    if scanned(docs):
+        with contextlib.suppress(AnalysisException):  # other formats don't number their rows
+            return docs.select(*docs.columns, *place)
+    return stored(docs, "rows").select(*docs.columns, *place)
+
+
 def mixed_documents(docs: DataFrame, columns: list[str], **options) -> DataFrame:
     """The mix itself: each document's row as often as it is taken."""
-    taken = mix(docs, keep=tuple(columns), **options)
-    return taken.where("copies > 0").select("kept", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("kept.*")
+    key = ["own file", "own row"]
+    rows = identified(docs)
+    taken = mix(rows, keep=tuple(key), **options).where("copies > 0").select("kept.*", F.col("copies").cast("int").alias("own copies"))
+    return rows.select(*columns, *key).join(taken, key).select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("own copies"))).alias("own copy")).select(*columns)
 
 
 #: The same in DuckDB's SQL over `documents`, with the production parameters.
 ORACLE = f"""
 WITH sized AS (
-  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size FROM documents
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size,
+    coalesce(((doc_id % 2147483648) + 2147483648) % 2147483648, ('0x' || substr(md5(coalesce(text, '')), 1, 7))::BIGINT) * 2654435761 % 4294967296 AS spread FROM documents
 ), banded AS (
   SELECT *, CASE WHEN size = 0 THEN -1 ELSE (length(bin(size)) - 1) * 8 + floor(size * 8 / pow(2.0, length(bin(size)) - 1))::INT - 8 END AS band FROM sized
 ), cells AS (
@@ -119,10 +146,10 @@ WITH sized AS (
   SELECT source, source_size, coalesce(least(most, max(CASE WHEN level < ratio THEN level END) OVER () * w), most) AS target FROM levelled
 ), placed AS (
   SELECT d.*, g.source_size, g.target,
-    (((((coalesce(d.doc_id, 0) % 2147483648) + 2147483648) % 2147483648) * 2654435761) % 4294967296 // 256) % ceil(c.n / {BUCKET_ROWS})::BIGINT AS bucket
+    (d.spread // 256) % ceil(c.n / {BUCKET_ROWS})::BIGINT AS bucket
   FROM banded d JOIN cells c ON d.source IS NOT DISTINCT FROM c.source AND d.band = c.band JOIN aimed g ON d.source IS NOT DISTINCT FROM g.source
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY band DESC, bucket, doc_id NULLS FIRST, size) AS place,
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY band DESC, bucket, doc_id NULLS FIRST, size, spread) AS place,
     ('0x' || substr(md5('1:' || coalesce('=' || source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start,
     CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE target / source_size END AS each
   FROM placed

@@ -89,6 +89,32 @@ def test_mixing(odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_is_its_sql(spark, odd):
+    import duckdb
+
+    con = duckdb.connect()
+    rows = [(k if k % 3 else None, f"w{k} " * (k % 400), "x", "hot" if k % 2 else None, 1) for k in range(9000)]
+    docs = odd.unionByName(frame(spark, rows))
+    con.register("documents", docs.select("doc_id", "text", "source").toArrow())
+    want = sorted(map(str, con.execute(f"SELECT doc_id, source, size, copies, taken FROM ({mixing.ORACLE})").fetchall()))
+    got = mixing.mix(docs).select("doc_id", "source", "size", "copies", "taken").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+
+
+def test_mixing_numbers_rows_by_their_place_in_files(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    doubled = docs.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).drop("k")
+    assert mixing.scanned(docs) and mixing.scanned(docs.where("doc_id > 3").select("doc_id", "text")) and not mixing.scanned(doubled)
+    for df in (docs, doubled):
+        copies = collections.Counter()
+        for r in mixing.mix(df).collect():
+            copies[r["doc_id"]] += r["copies"]
+        got = collections.Counter(r["doc_id"] for r in mixing.mixed_documents(df, df.columns).collect())
+        assert got == collections.Counter({k: n for k, n in copies.items() if n})
+    plan = mixing.mixed_documents(docs, docs.columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan  # words were counted before
+
+
 def test_mixing_comes_near_its_targets(spark):
     r = random.Random(2)
     rows = [(k, "w " * int(r.paretovariate(1.2) * 20 % 900), "x", "hot" if k % 3 else f"s{k % 5}", 1) for k in range(6000)]
@@ -343,9 +369,48 @@ def test_language_id(spark, odd, sf_dir):
 
 
 def test_codewords_are_apart():
-    for n in (2, 3, 4, 10):
+    for n, least in ((2, 6), (3, 6), (4, 6), (10, 6), (30, 9), (100, 10)):
         code = language_id.codewords(n)
-        assert min((a != b).sum() for a, b in itertools.combinations(code, 2)) >= (6 if n <= 4 else 4)
+        assert min((a != b).sum() for a, b in itertools.combinations(code, 2)) >= least
+
+
+def test_decoding_is_brute_force_and_corrects_bits(spark):
+    r = np.random.default_rng(3)
+    code, weight = language_id.codewords(12), r.uniform(0.1, 1, language_id.bits_for(12))
+    margin = r.normal(size=(40, len(weight)))
+    want = [[sum(w * math.log1p(math.exp(-m * c)) for m, c, w in zip(row, word, weight, strict=True)) for word in code] for row in margin]
+    assert np.allclose(language_id.decoded(margin, code, weight), want)
+    for k, word in enumerate(code):  # fewer wrong bits than half the least distance
+        wrong = word * 4.0
+        wrong[r.choice(len(wrong), 2, replace=False)] *= -1
+        assert language_id.decoded(wrong[None], code, np.ones(len(wrong)))[0].argmin() == k
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fitted(docs)
+    texts = [t for _, t in texts_of(docs)][:30]
+    import pyarrow as pa
+
+    names, score, unsure = model.predict(pa.array(texts))
+    for t, name, p, flag in zip(texts, names, score, unsure, strict=True):
+        f = np.zeros(language_id.DIMENSIONS)
+        symbols = [int(language_id._SYMBOL[x]) for x in t.encode()]
+        for width in (2, 3, 4):
+            for at in range(len(symbols) - width + 1):
+                gram = symbols[at] * 257 + symbols[at + 1]
+                for x in symbols[at + 2 : at + width]:
+                    gram = gram * 0x01000193 + x
+                f[(gram * 0x9E3779B1 % (1 << 32)) >> 20] += 1
+        f = np.sqrt(f / f.sum())
+        loss = [sum(w * math.log1p(math.exp(-m * c)) for m, c, w in zip(f @ model.w + model.b, word, model.bits, strict=True)) for word in model.code]
+        order = sorted(range(len(loss)), key=loss.__getitem__)
+        assert name == model.languages[order[0]] and p == pytest.approx(1 / sum(math.exp(loss[order[0]] - x) for x in loss), abs=1e-3)
+        assert flag == (loss[order[1]] - loss[order[0]] < language_id.TOLERANCE * (loss[order[1]] + loss[order[0]]))
+
+
+def test_short_texts_score_alike_alone_and_in_company():
+    import pyarrow as pa
+
+    for t in ("ab", "abc", "abcd", "a"):
+        assert (language_id.features(pa.array([t]))[0] == language_id.features(pa.array([t, "some longer text"]))[0]).all()
 
 
 # -- personal data
