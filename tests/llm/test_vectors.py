@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from livedex.llm import embedding_dedup, topk_search
@@ -42,22 +43,49 @@ def test_top_k(spark, monkeypatch):
     assert topk_search.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_top_k_of_huge_components(spark):
-    rows = [(k * 20, [float(2**60 + k * 2**40), float(k)], 1) for k in range(4)]
+def test_top_k_of_huge_components(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 2)
+    values = [2.0**k for k in (60, 61, 62, 59, 400)] + [-(2.0**65), 3.0]
+    rows = [(k * 20, [x, float(k)], 1) for k, x in enumerate(values)]
     out = topk_search.search(spark.createDataFrame(rows, SCHEMA.replace("float", "double")), F.lit(True)).collect()
-    assert len(out) == 12 and {x["score"] for x in out} == {(1 << 63) - 1}
+    assert len(out) == 42
+    exact = [[int(64 * x), 64 * k] for k, x in enumerate(values)]
+    for k, q in enumerate(exact):
+        order = sorted((-(q[0] * v[0] + q[1] * v[1]), i) for i, v in enumerate(exact) if i != k)
+        got = sorted((x["rank"], x["vec_id"], x["score"]) for x in out if x["query_id"] == k * 20)
+        assert got == [(n + 1, i * 20, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(order)]
 
 
-def test_tree_search_prunes_and_is_exact():
+def test_top_k_of_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), *((k, [k / 40, 0.5], 1) for k in range(1, 31) if k % 20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = topk_search.search(df, F.col("vec_id") % 20 == 0).collect()
+    assert sorted((x["rank"], x["vec_id"]) for x in out) == sorted((n + 1, k) for n, k in enumerate([k for k in range(30, 0, -1) if k % 20][:20]) for _ in range(2))
+
+
+def test_tree_is_an_m_tree_that_prunes_and_is_exact():
     r = np.random.default_rng(5)
-    v = np.floor(r.normal(size=(40, 12)).repeat(50, 0) * 64 + r.normal(size=(2000, 12)) * 3)
-    tree = topk_search.MTree(np.arange(2000), v)
-    row, score = tree.search(np.arange(10), v[:10], 5)
-    for n in range(10):
-        s = v @ v[n]
-        s[n] = -np.inf
-        best = np.lexsort([np.arange(2000), -s])[:5]
-        assert row[n].tolist() == best.tolist() and score[n].tolist() == s[best].tolist()
+    for v, most in (
+        (np.floor(r.normal(size=(40, 12)).repeat(50, 0) * 64 + r.normal(size=(2000, 12)) * 3), 0.25),  # clustered
+        (np.floor(r.normal(size=(40, 12)).repeat(50, 0) * 64 * r.uniform(0.1, 4, (2000, 1)) + r.normal(size=(2000, 12)) * 3), 0.25),  # of very different norms
+        (np.floor(r.normal(size=(2000, 4)) * 64), 0.35),  # few dimensions
+        (np.floor(r.normal(size=(2000, 64)) * 8), 1.0),  # nothing to avoid
+    ):
+        tree = topk_search.MTree(np.arange(2000), v)
+        for k, below in enumerate(tree.children):
+            for c in below:
+                assert tree.to_parent[c] == pytest.approx(np.linalg.norm(tree.routing[c] - tree.routing[k]))
+        for rows, away, centre, radius in zip(tree.rows, tree.away, tree.routing, tree.radius, strict=True):
+            assert np.allclose(away, np.linalg.norm(v[rows] - centre, axis=1)) and (away <= radius + 1e-9).all()
+        assert sorted(np.concatenate(tree.rows).tolist()) == list(range(2000))
+        asked = r.choice(2000, 60, replace=False)
+        row, score = tree.search(asked, v[asked], 5)
+        for n, own in enumerate(asked):
+            s = v @ v[own]
+            s[own] = -np.inf
+            best = np.lexsort([np.arange(2000), -s])[:5]
+            assert row[n].tolist() == best.tolist() and score[n].tolist() == s[best].tolist()
+        assert tree.computed <= most * tree.possible
 
 
 def test_near_duplicates(spark):
