@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, tidy
 
-SHARD_ROWS, PAGE_ROWS, FANOUT, QUERY_ROWS = 4096, 64, 8, 1024
+SHARD_ROWS, PAGE_ROWS, FANOUT, QUERY_ROWS = 4096, 64, 8, 4096
 SCALE = 64
 _EXACT = 2.0**52
 
@@ -162,16 +162,16 @@ class MTree:
     def merge(self, score, row, who, found, rows) -> None:
         """Keeps the best k of each query: higher products, then smaller ids."""
         k = score.shape[1]
-        worth = found.max(1) >= score[who, -1]
-        who, found = who[worth], found[worth]
-        if not len(who):
-            return
-        s = np.concatenate([score[who], found], 1)
-        r = np.concatenate([row[who], np.broadcast_to(rows, found.shape)], 1)
-        r[np.isneginf(s)] = -1
-        ids = np.where(r >= 0, self.ids[r], np.iinfo(np.int64).max)
-        best = np.lexsort([r, ids, -s], axis=1)[:, :k]
-        score[who], row[who] = np.take_along_axis(s, best, 1), np.take_along_axis(r, best, 1)
+        i, j = np.nonzero((found >= score[who, -1][:, None]) & (found > -np.inf))
+        asking, i = np.unique(i, return_inverse=True)
+        who = who[asking]
+        s = np.concatenate([score[who].ravel(), found[asking[i], j]])
+        r = np.concatenate([row[who].ravel(), rows[j]])
+        w = np.concatenate([np.repeat(np.arange(len(who)), k), i])
+        order = np.lexsort([r, np.where(r >= 0, self.ids[r], np.iinfo(np.int64).max), -s, w])
+        place = np.arange(len(order)) - np.searchsorted(w[order], np.arange(len(who)))[w[order]]
+        best, place = order[place < k], place[place < k]
+        score[who[w[best]], place], row[who[w[best]], place] = s[best], r[best]
 
 
 def exact_search(ids, v, query_ids, q, k):
