@@ -1,11 +1,16 @@
 """Near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
-Rows with the same vector are one node with a weight.  Nodes are dealt over cells around a bounded set of pivots, and
-each cell over tiles of a few thousand nodes; a tile knows its centre and the angle that covers it, so pairs of tiles
-that the triangle inequality on angles keeps apart are never multiplied.  In the other pairs, unit vectors are int8
-numbers times a scale of their own.  With e the norm of a vector's quantisation error, a cosine differs from the
-quantised product by at most e_u + (1 + e_u) e_w.  A product that stays above or below the threshold by its bound is
-decided; only the pairs between are computed again in doubles.
+Rows with the same vector are one node with a weight.  Nodes are dealt over cells around pivots, as many as there would
+be tiles up to a bound, and each cell over tiles of a few thousand nodes.  A cell knows the angle that covers it: cells
+that the triangle inequality on angles keeps apart are never paired, and tiles only meet tiles of paired cells, where
+the same test on their own centres and angles follows.  In the pairs that stay, unit vectors are int8 numbers times a
+scale of their own.  With e the norm of a vector's quantisation error, a cosine differs from the quantised product by at
+most e_u + (1 + e_u) e_w.  A product that stays above or below the threshold by its bound is decided; only the pairs
+between are computed again in doubles.
+
+Of a pair, one tile (by a hash) is the owner, and the other is sent to it, a few to a task; so a tile moves once for each
+pair it doesn't own, and once for each task it does.  Vectors in no clusters are far from nothing, and then all tiles
+meet: the work is quadratic, as the method of tile products is, but never in one task.
 
 A tile pair returns one row per node with a link: how many vectors it links with there, and the root of a spanning
 forest of the links, never the pairs themselves.  Components of the forests are components of the links.
@@ -20,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, stored, tidy
@@ -28,8 +33,8 @@ from .components import components, forest
 from .topk_search import usable
 
 THRESHOLD = 0.95
-#: Nodes of a tile, and pivots at most (as many as there would be tiles).
-TILE, PIVOTS, SALTS = 4096, 64, 16
+#: Nodes of a tile, pivots of a vector length at most, tiles that are sent to a task, and rows that are multiplied at once.
+TILE, PIVOTS, SENT, ROWS = 8192, 1024, 4, 512
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -51,8 +56,8 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray,
     exact = a.shape[1] * 127 * 127 < 1 << 24  # then single precision adds int8 products without rounding
     qb = qb.astype(np.float32 if exact else np.float64)
     rows, columns = [], []
-    for k in range(0, len(a), 1024):
-        part = slice(k, k + 1024)
+    for k in range(0, len(a), ROWS):
+        part = slice(k, k + ROWS)
         product = (qa[part].astype(qb.dtype) @ qb.T) * (sa[part, None] * sb)
         bound = ea[part, None] + (1 + ea[part, None]) * eb + 1e-9
         i, j = np.nonzero(product + bound >= threshold)
@@ -73,14 +78,37 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     return fit.groupBy(F.col("embedding").alias("v")).agg(F.min("vec_id").cast("long").alias("node"), F.count(F.lit(1)).alias("weight"))
 
 
-def tiles(nodes: DataFrame, tile_rows: int, pivots: int) -> DataFrame:
-    """dim, tile, centre (array), angle, and the nodes' ids, weights and vectors as binaries."""
-    pivots = max(1, min(pivots, nodes.count() // tile_rows))
-    dims = [r["dim"] for r in nodes.select(F.size("v").alias("dim")).distinct().limit(1000).collect()]
-    chosen = {}
-    for dim in dims:
-        found = nodes.where(F.size("v") == dim).orderBy(F.xxhash64("node"), "node").limit(pivots).select("v").collect()
-        chosen[dim] = unit(np.array([r["v"] for r in found], np.float64).reshape(len(found), dim))
+def pivots_of(nodes: DataFrame, tile_rows: int, pivots: int) -> dict[int, np.ndarray]:
+    """Unit vectors by length: of lengths with more nodes than a tile, the first ones by a hash, at most `pivots`."""
+    sizes = nodes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile_rows)
+    first = Window.partitionBy("dim").orderBy(F.xxhash64("node"), "node")
+    found = nodes.select("node", "v", F.size("v").alias("dim")).join(sizes, "dim").withColumn("place", F.row_number().over(first))
+    found = found.where((F.col("place") <= pivots) & (F.col("place") <= F.ceil(F.col("n") / tile_rows))).select("dim", "place", "v").collect()
+    out = {}
+    for dim in sorted({r["dim"] for r in found}):
+        out[dim] = unit(np.array([r["v"] for r in sorted((r for r in found if r["dim"] == dim), key=lambda r: r["place"])], np.float64))
+    return out
+
+
+def near_cells(cells: list, chosen: dict[int, np.ndarray], reach: float) -> list[tuple[int, int, int]]:
+    """(dim, cell, cell2), cell <= cell2, of all cells (rows of dim, cell, angle) that may hold vectors within `reach` of each other."""
+    out = []
+    for dim in sorted({c["dim"] for c in cells}):
+        own = sorted((c["cell"], c["angle"]) for c in cells if c["dim"] == dim)
+        names, angle = np.array([c for c, _ in own]), np.array([a for _, a in own])
+        if dim not in chosen:
+            out.append((dim, 0, 0))
+            continue
+        p = chosen[dim][names]
+        near = np.arccos(np.clip(p @ p.T, -1, 1)) <= angle[:, None] + angle + reach
+        np.fill_diagonal(near, True)
+        out += [(dim, int(names[i]), int(names[j])) for i, j in zip(*np.nonzero(np.triu(near)), strict=True)]
+    return out
+
+
+def tiles(nodes: DataFrame, tile_rows: int, pivots: int, reach: float) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """dim, cell, tile, centre (array), angle, and the nodes' ids, weights and vectors as binaries; and the pairs of cells to compare."""
+    chosen = pivots_of(nodes, tile_rows, pivots)
 
     def nearest(batches):
         for batch in batches:
@@ -88,18 +116,20 @@ def tiles(nodes: DataFrame, tile_rows: int, pivots: int) -> DataFrame:
             lengths = np.diff(v.offsets.to_numpy())
             flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             starts = np.concatenate([[0], np.cumsum(lengths)])
-            cell = np.zeros(len(lengths), np.int32)
+            cell, angle = np.zeros(len(lengths), np.int32), np.full(len(lengths), math.pi)
             for dim in np.unique(lengths):
                 at = np.flatnonzero(lengths == dim)
                 if dim in chosen:
-                    own = flat[starts[at][:, None] + np.arange(dim)]
-                    cell[at] = np.argmax(np.round(unit(own) @ chosen[dim].T, 12), 1)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("weight"), v, pa.array(cell)], ["node", "weight", "v", "cell"])
+                    cosine = unit(flat[starts[at][:, None] + np.arange(dim)]) @ chosen[dim].T
+                    cell[at] = np.argmax(np.round(cosine, 12), 1)
+                    angle[at] = np.arccos(np.clip(cosine[np.arange(len(at)), cell[at]], -1, 1)) + 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("weight"), v, pa.array(cell), pa.array(angle)], ["node", "weight", "v", "cell", "angle"])
 
     kind = nodes.schema["v"].dataType.simpleString()
-    dealt = cut(nodes.select("node", "weight", "v").mapInArrow(tidy(nearest), f"node long, weight long, v {kind}, cell int").withColumn("dim", F.size("v")))
-    sizes = dealt.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("parts"))
-    dealt = dealt.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = cut(nodes.select("node", "weight", "v").mapInArrow(tidy(nearest), f"node long, weight long, v {kind}, cell int, angle double").withColumn("dim", F.size("v")))
+    sizes = cut(dealt.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("parts"), F.max("angle").alias("angle")))
+    paired = near_cells(sizes.select("dim", "cell", "angle").collect(), chosen, reach)  # a row a pivot
+    dealt = dealt.drop("angle").join(sizes.drop("angle"), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
     def gather(key, table):
         ids, weight = table.column("node").to_numpy(), table.column("weight").to_numpy()
@@ -111,50 +141,66 @@ def tiles(nodes: DataFrame, tile_rows: int, pivots: int) -> DataFrame:
         angle = float(np.arccos(np.clip((u @ centre).min(), -1, 1))) + 1e-6
         dim, cell, part = (k.as_py() for k in key)
         return pa.Table.from_arrays(
-            [pa.array([dim], pa.int32()), pa.array([(cell << 32) + part], pa.int64()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([angle]), *(pa.array([x[order].tobytes()], pa.binary()) for x in (ids, weight, v.astype("<f4") if single else v))],
-            ["dim", "tile", "centre", "angle", "ids", "weights", "vectors"],
+            [pa.array([dim], pa.int32()), pa.array([cell], pa.int32()), pa.array([(cell << 32) + part], pa.int64()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([angle]), *(pa.array([x[order].tobytes()], pa.binary()) for x in (ids, weight, v.astype("<f4") if single else v))],
+            ["dim", "cell", "tile", "centre", "angle", "ids", "weights", "vectors"],
         )
 
     single = "float" in kind
-    return dealt.groupBy("dim", "cell", "part").applyInArrow(gather, "dim int, tile long, centre array<double>, angle double, ids binary, weights binary, vectors binary")
+    schema = "dim int, cell int, tile long, centre array<double>, angle double, ids binary, weights binary, vectors binary"
+    return stored(dealt.groupBy("dim", "cell", "part").applyInArrow(gather, schema), "tiles"), paired
 
 
 def links(nodes: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE, pivots: int = PIVOTS) -> DataFrame:
     """(node, links: weight of the nodes it links with, root: a node it is connected with), a few rows per node."""
-    kept = stored(tiles(nodes, tile_rows, pivots), "tiles")
+    reach = math.acos(threshold) + 1e-6
+    kept, paired = tiles(nodes, tile_rows, pivots, reach)
     kind = "<f4" if "float" in nodes.schema["v"].dataType.simpleString() else "<f8"
-    brief = kept.select("dim", "tile", "centre", "angle")
-    other = brief.select("dim", F.col("tile").alias("tile2"), F.col("centre").alias("centre2"), F.col("angle").alias("angle2"))
+    paired = nodes.sparkSession.createDataFrame(paired, "dim int, cell int, cell2 int")
+    brief = kept.select("dim", "cell", "tile", "centre", "angle")
+    other = brief.toDF("dim", "cell2", "tile2", "centre2", "angle2")
     dot = F.aggregate(F.zip_with("centre", "centre2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) <= F.col("angle") + F.col("angle2") + math.acos(threshold) + 1e-6
-    # Most vectors have one length, so tiles are dealt by a salt as well.
-    brief = brief.withColumn("salt", F.pmod(F.xxhash64("tile"), F.lit(SALTS)).cast("int"))
-    other = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = brief.join(other, ["dim", "salt"]).where((F.col("tile") <= F.col("tile2")) & ((F.col("tile") == F.col("tile2")) | near)).select("dim", "tile", "tile2")
-    left = kept.select("dim", "tile", "ids", "weights", "vectors")
-    right = left.toDF("dim", "tile2", "ids2", "weights2", "vectors2")
-    work = pairs.join(left, ["dim", "tile"]).join(right, ["dim", "tile2"])
-
-    def compare(batches):
-        for batch in batches:
-            for one in batch.to_pylist():
-                ids, w = np.frombuffer(one["ids"], "<i8"), np.frombuffer(one["weights"], "<i8")
-                a = unit(np.frombuffer(one["vectors"], kind).astype(np.float64).reshape(len(ids), -1))
-                if one["tile"] == one["tile2"]:
-                    i, j = linked(a, a, threshold)
-                    i, j = i[i != j], j[i != j]
-                    sums = np.bincount(i, w[j], minlength=len(ids))
-                else:
-                    ids2, w2 = np.frombuffer(one["ids2"], "<i8"), np.frombuffer(one["weights2"], "<i8")
-                    b = unit(np.frombuffer(one["vectors2"], kind).astype(np.float64).reshape(len(ids2), -1))
-                    i, j = linked(a, b, threshold)
-                    sums = np.concatenate([np.bincount(i, w2[j], minlength=len(ids)), np.bincount(j, w[i], minlength=len(ids2))])
-                    ids, j = np.concatenate([ids, ids2]), j + len(a)
-                root = forest(len(ids), i, j)
-                has = np.flatnonzero(sums)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(sums[has].astype(np.int64)), pa.array(ids[root[has]])], ["node", "links", "root"])
-
-    return cut(work.mapInArrow(tidy(compare), "node long, links long, root long"))
+    near = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) <= F.col("angle") + F.col("angle2") + reach
+    pairs = brief.join(paired, ["dim", "cell"]).join(other, ["dim", "cell2"]).where((F.col("tile") <= F.col("tile2")) & ((F.col("tile") == F.col("tile2")) | near))
+    swapped = (F.xxhash64("tile", "tile2") % 2 == 0) & (F.col("tile") != F.col("tile2"))
+    pairs = pairs.select("dim", F.when(swapped, F.col("tile2")).otherwise(F.col("tile")).alias("own"), F.when(swapped, F.col("tile")).otherwise(F.col("tile2")).alias("sent"))
+    tasks = F.ceil(F.col("n") / SENT).cast("long")
+    owned = pairs.groupBy("dim", "own").agg(F.count(F.lit(1)).alias("n"))
+    pairs = cut(pairs.join(owned, ["dim", "own"]).withColumn("task", F.pmod(F.xxhash64("sent"), tasks)).drop("n"))
+    data = kept.select("dim", "tile", "ids", "weights", "vectors")
+    columns = ["dim", "own", "task", "tile", "ids", "weights", "vectors"]
+    sent = pairs.where("own <> sent").withColumnRenamed("sent", "tile").join(data, ["dim", "tile"]).select(*columns)
+    # The owner's row has its own number as the tile; the task that holds the pair with itself is marked by a row of its own.
+    owners = pairs.groupBy("dim", "own", "task").agg(F.max(F.col("own") == F.col("sent")).alias("itself")).withColumn("tile", F.col("own"))
+    owners = owners.join(data, ["dim", "tile"]).select(*columns, "itself")
+
+    def compare(key, rows):
+        out = [pa.RecordBatch.from_pydict({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})]
+
+        def read(k):
+            ids, w = (np.frombuffer(rows.column(c)[k].as_py(), "<i8") for c in ("ids", "weights"))
+            return ids, w, unit(np.frombuffer(rows.column("vectors")[k].as_py(), kind).astype(np.float64).reshape(len(ids), -1))
+
+        def add(ids, i, j, sums):
+            root = forest(len(ids), i, j)
+            has = np.flatnonzero(sums)
+            out.append(pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(sums[has].astype(np.int64)), pa.array(ids[root[has]])], ["node", "links", "root"]))
+
+        itself = rows.column("itself").to_pylist()
+        own = next(k for k, x in enumerate(itself) if x is not None)
+        ids, w, a = read(own)
+        if itself[own]:
+            i, j = linked(a, a, threshold)
+            i, j = i[i != j], j[i != j]
+            add(ids, i, j, np.bincount(i, w[j], minlength=len(ids)))
+        for k in range(rows.num_rows):
+            if k != own:
+                ids2, w2, b = read(k)
+                i, j = linked(a, b, threshold)
+                add(np.concatenate([ids, ids2]), i, j + len(a), np.concatenate([np.bincount(i, w2[j], minlength=len(ids)), np.bincount(j, w[i], minlength=len(ids2))]))
+        return pa.Table.from_batches(out)
+
+    work = sent.withColumn("itself", F.lit(None).cast("boolean")).unionByName(owners)
+    return cut(work.groupBy("dim", "own", "task").applyInArrow(compare, "node long, links long, root long"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

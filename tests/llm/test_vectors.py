@@ -123,6 +123,12 @@ def test_many_tiles_and_bounds(spark, monkeypatch):
     few = {(x["node"]): x["n"] for x in embedding_dedup.links(nodes).groupBy("node").agg(F.sum("links").alias("n")).collect()}
     many = {(x["node"]): x["n"] for x in embedding_dedup.links(nodes, tile_rows=20, pivots=5).groupBy("node").agg(F.sum("links").alias("n")).collect()}
     assert few == many
+    third = {(x["node"]): x["n"] for x in embedding_dedup.links(nodes, tile_rows=7, pivots=40).groupBy("node").agg(F.sum("links").alias("n")).collect()}
+    assert few == third
+    chosen = embedding_dedup.pivots_of(nodes, 20, 5)
+    assert {k: len(v) for k, v in chosen.items()} == {16: 5}
+    cells = [{"dim": 16, "cell": k, "angle": 0.01} for k in range(5)]
+    assert [c[1:] for c in embedding_dedup.near_cells(cells, chosen, 0.01)][:1] == [(0, 0)] and len(embedding_dedup.near_cells(cells, chosen, 4.0)) == 15
     u = embedding_dedup.unit(np.random.default_rng(0).normal(size=(200, 32)))
     q, s, e = embedding_dedup.quantised(u)
     assert (np.abs(u @ u.T - (q @ q.T.astype(float)) * s[:, None] * s) <= e[:, None] + (1 + e[:, None]) * e + 1e-9).all()
