@@ -56,12 +56,20 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray,
     exact = a.shape[1] * 127 * 127 < 1 << 24  # then single precision adds int8 products without rounding
     qb = qb.astype(np.float32 if exact else np.float64)
     rows, columns = [], []
+    # A row's least product, in units of its scale; rounding to single precision is less than the millionth taken off.
+    least = (threshold - ea - (1 + ea) * eb.max(initial=0.0) - 1e-9) / sa
+    least = (least - np.abs(least) * 1e-6).astype(np.float32)
+    units = sb.astype(qb.dtype)
     for k in range(0, len(a), ROWS):
         part = slice(k, k + ROWS)
-        product = (qa[part].astype(qb.dtype) @ qb.T) * (sa[part, None] * sb)
-        bound = ea[part, None] + (1 + ea[part, None]) * eb + 1e-9
-        i, j = np.nonzero(product + bound >= threshold)
-        open_ = product[i, j] - bound[i, j] < threshold
+        whole = qa[part].astype(qb.dtype) @ qb.T
+        whole *= units
+        i, j = np.nonzero(whole >= least[part, None])
+        product = whole[i, j].astype(np.float64) * sa[k + i]
+        bound = ea[k + i] + (1 + ea[k + i]) * eb[j] + 1e-6  # with the rounding of `whole`
+        near = product + bound >= threshold
+        i, j, product, bound = i[near], j[near], product[near], bound[near]
+        open_ = product - bound < threshold
         keep = ~open_
         check = np.flatnonzero(open_)
         for c in range(0, len(check), 1 << 18):
