@@ -4,59 +4,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import types as T
-
-#: A change: upsert, delete or skip of a uid that owns any number of documents.  `seq` orders equal versions.
-CHANGE = T.StructType([
-    T.StructField("uid", T.LongType()),
-    T.StructField("version", T.LongType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("is_deleted", T.BooleanType()),
-    T.StructField("is_skip", T.BooleanType()),
-    T.StructField("docs", T.ArrayType(T.StructType([
-        T.StructField("fields", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
-        T.StructField("analyzer", T.StringType()),
-    ]))),
-])
-
-#: A document from a content dump.
-CONTENT = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("body", T.StringType()),
-    T.StructField("date", T.TimestampType()),
-    T.StructField("props", T.MapType(T.StringType(), T.StringType())),
-])
-
 #: The id that no document has, and the answer of lookups that find nothing.
 DELETED_UID, NOT_FOUND = -(1 << 63), -1
 #: Tiers, freshest first.
 TIERS = ("B", "A", "disk")
 
 
-@dataclass(frozen=True)
-class FieldSpec:
-    """How a field is treated: kept for display, searchable, cut into tokens, and counted in length norms."""
-
-    stored: bool = True
-    indexed: bool = True
-    analyzed: bool = True
-    norms: bool = True
-
-
 @dataclass
 class IngestConfig:
-    batch_size: int = 1000
-    batch_delay_ms: int = 300_000
-    max_batch_size: int = 10_000
+    batch_size: int = 1000  # changes that start a flush
+    batch_delay_ms: int = 300_000  # the longest that changes wait for one
+    max_batch_size: int = 10_000  # changes that may wait before producers have to
     realtime: bool = True
-    realtime_batch_size: int = 100
+    realtime_batch_size: int = 100  # events that are made visible together
     max_events_per_minute: int | None = None  # None: unlimited
 
 
 @dataclass
 class MergeConfig:
-    """Segment layout: how many large segments, how many small ones at most, and when small ones are merged."""
+    """Segment layout: how many large segments, how many segments at most, and when small ones are merged."""
 
     large_segments: int = 10
     merge_factor: int = 10

@@ -84,3 +84,8 @@ def test_content_dump(spark, tmp_path):
     (tmp_path / "d.xml").write_text("<dump>" + page.format("A", 1, "one\ttwo\nthree") + page.format("B", 2, "#REDIRECT A") + page.format("Image:C", 3, "x") + "</dump>")
     rows = content_dump(spark, str(tmp_path / "d.xml")).collect()
     assert [(r["id"], r["title"], r["body"]) for r in rows] == [(1, "A", "one two three")] and str(rows[0]["date"]) == "2024-01-02 03:04:05"
+    nested = """<mediawiki><page><title>{}</title><ns>0</ns><id>{}</id>{}</page></mediawiki>"""
+    revision = '<revision><id>7</id><timestamp>2024-01-02T03:04:05Z</timestamp><contributor><username>u</username><id>9</id></contributor><text xml:space="preserve" bytes="3">{}</text></revision>'
+    (tmp_path / "n.xml").write_text(nested.format("A", 1, revision.format("one &lt;b&gt;")) + nested.format("B", 2, revision.format("#redirect x")))
+    rows = content_dump(spark, str(tmp_path / "n.xml")).collect()
+    assert [(r["id"], r["title"], r["body"]) for r in rows] == [(1, "A", "one <b>")] and str(rows[0]["date"]) == "2024-01-02 03:04:05"

@@ -52,13 +52,25 @@ def test_balanced_against_all_ways():
 
 def test_merges():
     seg = lambda k, docs=100, deleted=0, size=1000: c.Segment(str(k), docs, deleted, size)
+    named = lambda runs: [[s.name for s in r] for r in runs]
     few = [seg(k) for k in range(4)]
-    assert c.merges(few, MergeConfig(large_segments=2, merge_factor=10)) == [] or len(few) > 2
+    assert c.merges(few, MergeConfig(large_segments=4)) == [] == c.merges(few[:2], MergeConfig(large_segments=4))
     many = [seg(k, size=10_000) for k in range(3)] + [seg(k + 3, size=100) for k in range(10)]
     assert c.merges(many, MergeConfig(large_segments=3, merge_factor=5)) == [many[3:8], many[8:13]]
-    grown = [seg(k, size=1000) for k in range(3)] + [seg(k + 3, size=900) for k in range(3)]
-    runs = c.merges(grown, MergeConfig(large_segments=3, merge_factor=5))
-    assert [[s.name for s in r] for r in runs] == [["0", "1"], ["2", "3"], ["4", "5"]]
+    # Too many segments: from the first small one under a quarter of the share on.
+    crowded = [*many[:3], seg("x", size=4000), *many[3:]]
+    assert c.merges(crowded, MergeConfig(large_segments=3, merge_factor=5)) == [many[3:]]
+    # The small ones have grown to a large one: two large ones make room.
+    grown = [seg(0, size=900), seg(1, size=1000), seg(2, size=1000), *(seg(k + 3, size=900) for k in range(2))]
+    assert named(c.merges(grown, MergeConfig(large_segments=3, merge_factor=5))) == [["0", "1"], ["3", "4"]]
+    # To more than two of them: all is laid out anew.
+    more = [seg(k, size=1000) for k in range(3)] + [seg(k + 3, size=1000) for k in range(3)]
+    assert named(c.merges(more, MergeConfig(large_segments=3, merge_factor=5))) == [["0", "1"], ["2", "3"], ["4", "5"]]
+    dirty = [seg(0, size=900), seg(1, size=1000), seg(2, size=1000, deleted=4), *(seg(k + 3, size=900) for k in range(2))]
+    assert named(c.merges(dirty, MergeConfig(large_segments=3, partial_expunge=True))) == [["0", "1"], ["2"], ["3", "4"]]
+    quiet = [seg(0, size=9000, deleted=2), seg(1, size=9000, deleted=5), seg(2, size=10)]
+    assert named(c.merges(quiet, MergeConfig(large_segments=2, partial_expunge=True))) == [["1"]]
+    assert c.merges(more, MergeConfig(large_segments=3, merge_factor=5, max_merge_docs=150)) == []
     assert sum(map(len, c.optimized(many, 2))) - len(c.optimized(many, 2)) + 2 == len(many)
     assert c.optimized(many, 50) == []
     assert seg(1, 0, 0, 5).size == 0
