@@ -6,17 +6,22 @@ search log written from `events` (see sources/adapters.py).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .admin import Admin
 from .functions import analysis, scalars
-from .operators import liveview, lookup, monitor, reports, search
+from .model import IngestConfig, MergeConfig
+from .operators import liveview, lookup, monitor, postings, reports, search
 from .operators.highlight import best_fragment
 from .plans import compaction
 from .sources import adapters
 from .sources.adapters import table
+from .streaming.ingest import Consumer, Ingest, MemorySource, Provider, file_stream
+from .streaming.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -166,15 +171,33 @@ def tier_doc_counts(spark, d):
     return liveview.merged(adapters.event_changes(spark, d)).groupBy("tier").agg(F.count(F.lit(1)).alias("docs"), F.sum("version").alias("versions"))
 
 
+def new_store(spark, **options) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", **options)
+
+
 @query(
     f"""{TIERED} SELECT 'working' AS state, tier, count(*) AS docs FROM seen GROUP BY tier
     UNION ALL SELECT 'sleep', CASE tier WHEN 'A' THEN 'disk' WHEN 'B' THEN 'A' ELSE tier END AS t, count(*) FROM seen GROUP BY t"""
 )
 def tier_state_counts(spark, d):
-    """While a flush works, three tiers are read; after it A is on disk and B is the new A."""
-    seen = liveview.merged(adapters.event_changes(spark, d)).groupBy("tier").agg(F.count(F.lit(1)).alias("docs"))
-    after = seen.withColumn("tier", F.when(F.col("tier") == "B", "A").otherwise("disk")).groupBy("tier").agg(F.sum("docs").alias("docs"))
-    return seen.select(F.lit("working").alias("state"), "tier", "docs").unionByName(after.select(F.lit("sleep").alias("state"), "tier", "docs"))
+    """A store while a flush works, with three tiers, and after it: A is on disk and B is the new A."""
+    changes, store = adapters.event_changes(spark, d), new_store(spark)
+    store.append(liveview.in_tier(changes, "disk"))
+    store.promote()
+    store.append(liveview.in_tier(changes, "A"))
+    store.begin_flush()
+    store.append(liveview.in_tier(changes, "B"))
+
+    def counts():
+        out, state = None, store.manifest().state
+        for tier, rows in store.tiers().items():
+            own = rows.agg(F.lit(state).alias("state"), F.lit(tier).alias("tier"), F.count(F.lit(1)).alias("docs"))
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    working = counts()
+    store.end_flush()
+    return working.unionByName(counts())
 
 
 @query(f"{E} SELECT uid, arg_max(tier, CASE tier WHEN 'B' THEN 2 WHEN 'A' THEN 1 ELSE 0 END) AS tier FROM e WHERE NOT is_skip GROUP BY uid")
@@ -223,9 +246,20 @@ def nrt_throttled_view(spark, d):
     return _row(liveview.live(changes.where(F.col("ts") <= F.lit(str(tick)).cast("timestamp_ntz"))))
 
 
-@query(f"{E} SELECT version // 50 AS batch, count(*) AS events, max(version) AS version FROM e GROUP BY batch")
+@query(f"{E} SELECT version // (n // 4) AS batch, count(*) AS events, max(version) AS version, TRUE AS durable FROM e, size WHERE version < n // 4 * 4 GROUP BY ALL")
 def flush_batches(spark, d):
-    return adapters.event_changes(spark, d).groupBy(F.floor(F.col("version") / 50).alias("batch")).agg(F.count(F.lit(1)).alias("events"), F.max("version").alias("version"))
+    """Batches of changes through an ingest whose batch size is a quarter of them: what each flush made durable."""
+    changes, n = adapters.event_changes(spark, d), table(spark, d, "events").count()
+    size, store, out = n // 4, new_store(spark), []
+    ingest = Ingest(store, lambda rows: rows, IngestConfig(batch_size=size))
+    half = max(size // 2, 1)
+    for k in range(0, size * 4, half):
+        ingest.batch(changes.where((F.col("version") >= k) & (F.col("version") < min(k + half, size * 4))))
+        m = store.manifest()
+        if not m.deltas:
+            before = sum(x[1] for x in out)
+            out.append((len(out), m.received + 1 - before, m.version, True))
+    return spark.createDataFrame(out, "batch long, events long, version long, durable boolean")
 
 
 @query(f"{E} SELECT {ROW} FROM ({live_sql('version <= (SELECT n // 2 FROM size)')})")
@@ -237,10 +271,6 @@ def snapshot_as_of_version(spark, d):
 @query(ORACLE_SQL["snapshot_as_of_version"])
 def snapshot_roundtrip(spark, d):
     """The same view, exported from a store as a snapshot and restored into another."""
-    import uuid
-
-    from .streaming.store import Store
-
     root = f"{shared_dir(spark)}/stores-{uuid.uuid4().hex}"
     changes = adapters.event_changes(spark, d)
     first = Store(spark, f"{root}/first")
@@ -254,25 +284,65 @@ def snapshot_roundtrip(spark, d):
 
 @query(f"{E} SELECT {ROW} FROM e WHERE false")
 def purge_then_empty(spark, d):
-    """A purge is a change of the whole view to nothing: no tier is read."""
-    return _row(adapters.event_changes(spark, d).where(F.lit(False)))
+    """A store with segments and a delta, purged: its view has columns and no rows, and its folders are gone."""
+    changes, store = adapters.event_changes(spark, d), new_store(spark)
+    store.append(liveview.in_tier(changes, "disk"))
+    store.promote()
+    store.append(liveview.in_tier(changes, "A"))
+    Admin(store).purge()
+    assert not [n for n in store.files.names() if n.startswith(("segment-", "delta-", "deletes-"))]
+    return _row(store.view())
 
 
-@query(f"{E}, v AS ({live_sql()}) SELECT stage, count(*) AS docs, sum(version)::BIGINT AS versions FROM v, (SELECT unnest(['before', 'after']) AS stage) GROUP BY stage")
+@query(
+    f"{E}, v AS ({live_sql()}) SELECT stage, count(*) AS docs, sum(version)::BIGINT AS versions FROM v, (SELECT unnest(['flushed', 'merged', 'expunged', 'optimized']) AS stage) GROUP BY stage"
+)
 def compaction_invariance(spark, d):
-    view = liveview.live(adapters.event_changes(spark, d)).select("uid", "version")
-    sums = lambda df, stage: df.agg(F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("docs"), F.sum("version").alias("versions"))
-    return sums(view, "before").unionByName(sums(view.repartition(2, "uid"), "after"))
-
-
-@query("SELECT event_id // 1000 AS batch, count(*) AS events FROM events GROUP BY batch")
+    """A store of six segments with deletes between them, merged by policy, expunged and optimised: the view stays."""
+    changes, store, n = adapters.event_changes(spark, d), new_store(spark), table(spark, d, "events").count()
+    for k in range(6):
+        store.append(changes.where((F.col("version") >= k * n // 6) & (F.col("version") < (k + 1) * n // 6)))
+        store.promote()
+    out = None
+    for stage, step in (
+        ("flushed", lambda: None), ("merged", lambda: store.merge(MergeConfig(large_segments=3, merge_factor=2))),
+        ("expunged", store.expunge), ("optimized", lambda: store.optimize(1)),
+    ):
+        before = len(store.manifest().segments)
+        step()
+        assert stage in ("flushed", "expunged") or len(store.manifest().segments) < before
+        sums = store.live().agg(F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("docs"), F.sum("version").alias("versions"))
+        out = sums if out is None else out.unionByName(sums)
+    assert len(store.manifest().segments) == 1 and not store.manifest().deletes
+    return out
+
+
+@query("SELECT event_id // ((SELECT count(*) FROM events) // 4) AS batch, count(*) AS events FROM events GROUP BY batch")
 def src_stream_batches(spark, d):
-    return table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("batch")).agg(F.count(F.lit(1)).alias("events"))
-
-
-@query("SELECT event_id // 100 AS batch, count(*) AS events, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY batch")
+    """`events` as files of a stream, one a micro-batch, appended to a store by a streaming query: the store's deltas."""
+    root, n = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", table(spark, d, "events").count()
+    events = table(spark, d, "events").select(F.floor(F.col("event_id") / (n // 4)).alias("batch"), F.col("event_id").alias("version"))
+    for k in range(-(-n // (n // 4))):
+        events.where(F.col("batch") == k).coalesce(1).write.mode("append").json(f"{root}/in")
+    store = new_store(spark)
+    ingest = Ingest(store, lambda rows: rows.select(F.col("version").alias("uid"), "version", F.col("version").alias("seq"), F.lit(False).alias("is_deleted"), F.lit(False).alias("is_skip"), "batch"), IngestConfig(batch_size=1 << 40))
+    ingest.start(file_stream(spark, f"{root}/in", "batch long, version long"), f"{root}/checkpoint").awaitTermination()
+    return store.live().groupBy("batch").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("SELECT event_id // 250 AS batch, count(*) AS events, min(event_id) AS first, max(event_id) AS last FROM events WHERE event_id < 1000 GROUP BY batch")
 def src_memory_events(spark, d):
-    return table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 100).alias("batch")).agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    """A thousand events through a memory source, a provider and a consumer with a thread of its own, batched by the provider."""
+    rows = table(spark, d, "events").where("event_id < 1000").orderBy("event_id").select("event_id").collect()
+    source = MemorySource(spark, "uid long, version long, seq long, is_deleted boolean, is_skip boolean, batch long")
+    source.add((r["event_id"], r["event_id"], r["event_id"], False, False, r["event_id"] // 250) for r in rows)
+    source.end()
+    store = new_store(spark)
+    consumer = Consumer(Ingest(store, lambda df: df, IngestConfig(realtime_batch_size=250)), source.rows)
+    Provider(source.next, consumer.consume, 250).start().wait(120)
+    consumer.flush(120)
+    consumer.stop()
+    return store.live().groupBy("batch").agg(F.count(F.lit(1)).alias("events"), F.min("version").alias("first"), F.max("version").alias("last"))
 
 
 @query(f"{E} SELECT {ROW} FROM e WHERE version > (SELECT n * 9 // 10 FROM size)")
@@ -289,12 +359,15 @@ def src_uid_from_version(spark, d):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share; only a local master, where there is one machine, may leave it unset."""
     import tempfile
 
     found = spark.sparkContext.getCheckpointDir()
     if found is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="livedex-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="livedex-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
@@ -452,22 +525,33 @@ def analyze_keyword(spark, d):
 POSTINGS = f"{D}, p AS (SELECT uid, unnest(t) AS term, unnest(range(len(t))) AS pos FROM (SELECT uid, {TOKENS} AS t FROM d))"
 
 
-@query(f"{POSTINGS} SELECT term, uid, count(*) AS tf, min(pos) AS first_pos FROM p GROUP BY term, uid")
+@query(f"{POSTINGS} SELECT term, uid, count(*) AS tf, min(pos) AS first_pos, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM p GROUP BY term, uid")
 def build_postings(spark, d):
-    return analysis.postings(adapters.corpus(spark, d), analysis.terms(F.col("content")))
+    return analysis.postings(adapters.corpus(spark, d), analysis.terms(F.col("content"))).withColumn("positions", F.array_join("positions", ","))
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, d, which: str) -> str:
+    """The index of the corpus, or of the live documents after the second wave, built once a session."""
+    key = (spark.sparkContext.applicationId, d + which)
+    if key not in _BUILT:
+        path = f"{shared_dir(spark)}/index-{which}-{uuid.uuid4().hex}"
+        postings.build({"corpus": adapters.corpus, "live": adapters.updated_corpus}[which](spark, d), path, 16)
+        _BUILT[key] = path
+    return _BUILT[key]
 
 
 @query(f"{POSTINGS} SELECT uid, count(*) AS tf FROM p WHERE term = 'the' GROUP BY uid")
 def postings_term_docs(spark, d):
-    docs = adapters.corpus(spark, d).select("uid", F.size(F.filter(analysis.terms(F.col("content")), lambda t: t == "the")).cast("long").alias("tf"))
-    return docs.where("tf > 0")
+    """One term's documents, from its bucket of the stored index."""
+    return postings.documents(spark, stored_index(spark, d, "corpus"), "the", 16).select("uid", "tf")
 
 
 @query(f"{POSTINGS} SELECT uid, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM p WHERE term = 'of' GROUP BY uid")
 def postings_positions(spark, d):
-    numbered = F.transform(analysis.terms(F.col("content")), lambda t, i: F.when(t == "of", i.cast("string")))
-    docs = adapters.corpus(spark, d).select("uid", F.filter(numbered, lambda x: x.isNotNull()).alias("p"))
-    return docs.where(F.size("p") > 0).select("uid", F.array_join("p", ",").alias("positions"))
+    return postings.documents(spark, stored_index(spark, d, "corpus"), "of", 16).select("uid", F.array_join("positions", ",").alias("positions"))
 
 
 @query(f"{POSTINGS} SELECT term, count(DISTINCT uid) AS df FROM p GROUP BY term ORDER BY df DESC, term LIMIT 50")
@@ -510,6 +594,9 @@ def search_sql(leaves: list[tuple[str, float, bool]], where: str, extra: str = "
     hits AS (SELECT uid, path, lang, source, tier, content, round(({matched}) / {len(scoring)}.0::DOUBLE * ({total}) / sqrt({norm}), 6) AS score FROM f, i WHERE {where}){extra or ' SELECT uid, score FROM hits'}"""
 
 
+TEXTS: dict[str, str | None] = {}
+
+
 def searching(name: str, text: str | None, sql: str) -> None:
     """A key that gives uid and score of every hit of a query."""
 
@@ -518,6 +605,7 @@ def searching(name: str, text: str | None, sql: str) -> None:
 
     run.__name__, run.__doc__ = name, f"Hits of {text!r}."
     query(sql)(run)
+    TEXTS[name] = text
 
 
 FROM_WITH = [(word("from"), 1.0, True), (word("with"), 1.0, True)]
@@ -537,6 +625,21 @@ searching("search_term_range", "[tha TO the]", search_sql([(some("x >= 'tha' AND
 searching("search_boost", "from^2.5 with", search_sql([(word("from"), 2.5, True), (word("with"), 1.0, True)], "tf0 > 0 OR tf1 > 0"))
 searching("search_score_tfidf", "updated the of", search_sql([(word("updated"), 1.0, True), (word("the"), 1.0, True), (word("of"), 1.0, True)], "tf0 > 0 OR tf1 > 0 OR tf2 > 0"))
 
+
+def searching_index(name: str) -> None:
+    """The same hits and scores as a search over texts gives, from the stored index."""
+    text = TEXTS[name]
+
+    def run(spark, d):
+        return postings.matches(spark, stored_index(spark, d, "live"), text, 16)
+
+    run.__name__, run.__doc__ = name.replace("search_", "index_", 1), f"Hits of {text!r}."
+    query(ORACLE_SQL[name])(run)
+
+
+for _name in list(TEXTS):
+    searching_index(_name)
+
 BEST = " SELECT uid, score FROM hits ORDER BY score DESC, uid LIMIT 10"
 
 
@@ -607,6 +710,19 @@ def wiki_doc_projection(spark, d):
     return adapters.content_documents(rows).select("uid", "title", "body", "date_text")
 
 
+@query(
+    """SELECT uid, name, value FROM (SELECT o_orderkey AS uid, unnest(['title', 'body', 'status', 'customer']) AS name,
+    unnest([CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END, 'text ' || o_orderkey, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderstatus END, o_custkey::VARCHAR]) AS value FROM orders) WHERE value IS NOT NULL"""
+)
+def wiki_doc_fields(spark, d):
+    """Fields of documents by name, with dynamic ones, without null ones."""
+    rows = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("title"), F.concat(F.lit("text "), F.col("o_orderkey").cast("string")).alias("body"),
+        F.lit(None).cast("timestamp").alias("date"), F.create_map(F.lit("status"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")), F.lit("customer"), F.col("o_custkey").cast("string")).alias("props"),
+    )
+    return adapters.content_documents(rows).select("uid", F.explode("fields").alias("name", "value"))
+
+
 @query("SELECT event_id, strftime(ts, '%d-%b-%Y %H:%M:%S.000') AS text, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS back FROM events")
 def scalar_date_format(spark, d):
     text = scalars.iso_to_text(F.col("ts"))
@@ -776,16 +892,52 @@ def partial_expunge_candidate(spark, d):
     return _segments(spark, d).where("n_deleted > 0 AND segment < 10").orderBy(F.col("n_deleted").desc(), F.col("segment").desc()).limit(1).select("segment", "n_deleted")
 
 
-@query(f"{SIZED} SELECT segment // 5 AS run, min(segment) AS first, max(segment) AS last, count(*) AS segments, round(sum(size), 6) AS size FROM z GROUP BY 1 HAVING count(*) = 5")
-def merge_plan(spark, d):
-    """Neighbouring segments of one size class, a merge factor of five at a time, as one each."""
-    from .model import MergeConfig
-
-    rows = _segments(spark, d).orderBy("segment").collect()  # a manifest's rows
-    segments = [compaction.Segment(str(r["segment"]), r["n_docs"], r["n_deleted"], r["n_bytes"]) for r in rows]
-    config = MergeConfig(large_segments=0, merge_factor=5, small_segments=1 << 30)
-    runs = compaction.merges(segments, config)
-    out = [(int(r[0].name) // 5, int(r[0].name), int(r[-1].name), len(r), round(sum(s.size for s in r), 6)) for r in runs]
-    return spark.createDataFrame(out, "run long, first long, last long, segments long, size double")
+#: A manifest of eighteen segments, whatever the corpus: eight large ones and ten small ones, and another of sixteen alike.
+MANIFEST = """WITH n AS (SELECT count(*) AS n FROM documents), placed AS (
+    SELECT doc_id, CASE WHEN doc_id * 10 < n * 9 THEN doc_id * 80 // (n * 9) ELSE 8 + least((doc_id * 10 - n * 9) * 10 // n, 9) END AS uneven, doc_id * 16 // n AS alike FROM documents, n),
+  u AS (SELECT uneven AS k, (1000000 + 100 * uneven * uneven) * (count(*) FILTER (doc_id % 10 <> 0))::DOUBLE AS size FROM placed GROUP BY uneven),
+  a AS (SELECT alike AS k, (1000000 + 100 * alike * alike) * (count(*) FILTER (doc_id % 10 <> 0))::DOUBLE AS size FROM placed GROUP BY alike),
+  even AS (SELECT sum(size) / 13 AS even FROM a WHERE k < 14),
+  joined AS (SELECT x.k, (((x.size + y.size) / even - 1) ** 2) - ((x.size / even - 1) ** 2) - ((y.size / even - 1) ** 2) AS cost FROM a x JOIN a y ON y.k = x.k + 1 AND y.k < 14, even),
+  runs AS (SELECT 'promote' AS plan, k AS first, k + 1 AS last FROM (SELECT k FROM joined ORDER BY cost, k LIMIT 1)
+    UNION ALL SELECT 'promote', 14, 15 UNION ALL SELECT 'crowded', 8, 17 UNION ALL SELECT 'by size', 8, 12 UNION ALL SELECT 'by size', 13, 17)
+SELECT plan, first, last, last - first + 1 AS segments, round((SELECT sum(size) FROM (SELECT 'promote' AS p, * FROM a UNION ALL SELECT 'u', * FROM u) z
+  WHERE (z.p = 'promote') = (plan = 'promote') AND z.k BETWEEN first AND last), 3) AS size FROM runs"""
 
 
+@query(MANIFEST)
+def merge_plan(spark, d):
+    """The three ways of the merge policy: small segments promoted to a large one, too many of them, and neighbours of one size."""
+    docs, n = table(spark, d, "documents").select("doc_id"), table(spark, d, "documents").count()
+    uneven = F.when(F.col("doc_id") * 10 < n * 9, F.floor(F.col("doc_id") * 80 / (n * 9))).otherwise(8 + F.least(F.floor((F.col("doc_id") * 10 - n * 9) * 10 / n), F.lit(9)))
+
+    def manifest(place):
+        rows = docs.groupBy(place.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("doc_id") % 10 == 0, 1)).alias("gone")).orderBy("k").collect()  # a row a segment, eighteen at most
+        return [compaction.Segment(str(r["k"]), r["n"], r["gone"], r["n"] * (1_000_000 + 100 * r["k"] ** 2)) for r in rows]
+
+    first, second = manifest(uneven), manifest(F.floor(F.col("doc_id") * 16 / n))
+    out = []
+    for plan, segments, config in (
+        ("promote", second, MergeConfig(large_segments=14)), ("crowded", first, MergeConfig(large_segments=8, small_segments=12)), ("by size", first, MergeConfig(large_segments=8, merge_factor=5)),
+    ):
+        for run in compaction.merges(segments, config):
+            out.append((plan, int(run[0].name), int(run[-1].name), len(run), round(sum(s.size for s in run), 3)))
+    return spark.createDataFrame(out, "plan string, first long, last long, segments long, size double")
+
+
+@query(f"{W}, t AS (SELECT count(*) AS n, sum(ms) AS ms FROM w) SELECT n AS transactions, n + 3 AS executions, n AS successful, 3::BIGINT AS failed, 12.5::DOUBLE AS minutes, floor(n / 750.0::DOUBLE * 1000) / 1000 AS per_second, floor(n / 12.5::DOUBLE * 1000) / 1000 AS per_minute FROM t")
+def log_totals(spark, d):
+    """What a client's last lines say, read from log files together with its records."""
+    n = table(spark, d, "events").count()
+    said = [f"INFO: TOTAL TRANSACTIONS: {n}", f"INFO: TOTAL EXECUTIONS: {n + 3}", f"INFO: TOTAL SUCCESSFUL EXECUTIONS: {n}", "INFO: TOTAL FAILED EXECUTIONS: 3", "INFO: TOTAL RUNTIME IN MINS: 12.5"]
+    path = f"{shared_dir(spark)}/totals-{uuid.uuid4().hex}"
+    log_lines(spark, d).unionByName(spark.createDataFrame([(x,) for x in said], "line string")).write.text(path)
+    return reports.total_throughput(spark.read.text(path).withColumnRenamed("value", "line"))
+
+
+@query(ORACLE_SQL["log_parse"])
+def log_parse_files(spark, d):
+    """The same records from log files as a client writes them, two lines each."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    log_lines(spark, d).write.text(path)
+    return reports.client_records(reports.client_log(spark, path)).select("n", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "query", "hits", "ms")

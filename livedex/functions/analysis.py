@@ -46,12 +46,14 @@ def analyzed(text: Column, analyzer: Column, default: str = "standard") -> Colum
 
 
 def postings(docs: DataFrame, tokens: Column) -> DataFrame:
-    """term, uid, tf and first position of every term of every document.
+    """term, uid, tf, first position and positions (ascending) of every term of every document.
 
-    Terms of one document meet in the map-side aggregation, so a very frequent term is one row a document in the shuffle.
+    Terms of one document meet in the map-side aggregation, so a very frequent term is one row a document in the shuffle,
+    and positions are gathered within one document only.
     """
     exploded = docs.select("uid", F.posexplode(tokens).alias("pos", "term"))
-    return exploded.groupBy("term", "uid").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").cast("long").alias("first_pos"))
+    out = exploded.groupBy("term", "uid").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return out.select("term", "uid", F.size("positions").cast("long").alias("tf"), F.col("positions")[0].cast("long").alias("first_pos"), "positions")
 
 
 def document_frequencies(docs: DataFrame, tokens: Column) -> DataFrame:

@@ -12,13 +12,21 @@ from pyspark.sql import functions as F
 from ..model import NOT_FOUND
 
 
+#: Segments that are put into one order at a time, and document numbers of one bucket.
+TOGETHER, SPAN = 4096, 4096
+
+
 def segment_offsets(docs: DataFrame) -> DataFrame:
-    """Segments with their size, their start and the place after their end."""
-    sizes = docs.groupBy("segment").agg(F.max("local").alias("top"))
-    before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)  # one row a segment
-    sizes = sizes.select("segment", (F.col("top") + 1).alias("size"))
-    out = sizes.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    return out.withColumn("stop", F.col("start") + F.col("size"))
+    """Segments with their size, their start and the place after their end.
+
+    Sizes are summed over groups of neighbouring segments first, so only a row a group is brought into one order.
+    """
+    sizes = docs.groupBy("segment").agg((F.max("local") + 1).alias("size")).withColumn("group", F.floor(F.col("segment") / TOGETHER))
+    before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("group").agg(F.sum("size").alias("size"))
+    groups = groups.select("group", before(Window.orderBy("group")).alias("first"))
+    out = sizes.join(groups, "group").withColumn("start", F.col("first") + before(Window.partitionBy("group").orderBy("segment")))
+    return out.select("segment", "size", "start", (F.col("start") + F.col("size")).alias("stop"))
 
 
 def doc_numbers(docs: DataFrame) -> DataFrame:
@@ -40,9 +48,13 @@ def uid_range(probes: DataFrame, numbers: DataFrame, start: int, count: int) ->
 
 
 def docid_to_segment(probes: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Segment and local number of each probed document number."""
-    at = (F.col("docid") >= F.col("start")) & (F.col("docid") < F.col("stop"))
-    found = probes.join(offsets, at, "left")
+    """Segment and local number of each probed document number.  Both sides are joined by the bucket of numbers they lie in,
+    and a segment stands in every bucket that it reaches."""
+    reached = F.explode(F.sequence(F.floor(F.col("start") / SPAN), F.floor((F.col("stop") - 1) / SPAN)))
+    spans = offsets.where("stop > start").select("segment", "start", "stop", reached.alias("bucket"))
+    asked = probes.withColumn("bucket", F.floor(F.col("docid") / SPAN))
+    inside = (asked["bucket"] == spans["bucket"]) & (F.col("docid") >= F.col("start")) & (F.col("docid") < F.col("stop"))
+    found = asked.join(spans, inside, "left")
     return found.select("docid", F.coalesce("segment", F.lit(NOT_FOUND)).alias("segment"), F.coalesce(F.col("docid") - F.col("start"), F.lit(NOT_FOUND)).alias("local"))
 
 

@@ -2,18 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Client lines: a time line with a running number, and a line with word, query, hits and milliseconds (fixed formats).
 CLIENT_TIME = r"^(\w{3} \d{1,2}, \d{4} \d{1,2}:\d{2}:\d{2} [AP]M) .*subTransaction(\d+)"
-CLIENT_TAKEN = r"INFO: TIME-TAKEN: ([^:]*):([^:]*): (\d+) : (\d+)"
+CLIENT_TAKEN = r"INFO: TIME-TAKEN: (\w+):(.*): (\d+) : (\d+)"
+#: What a client writes at its end, each before a number (fixed formats).
+TOTALS = {
+    "transactions": "INFO: TOTAL TRANSACTIONS:", "executions": "INFO: TOTAL EXECUTIONS:", "successful": "INFO: TOTAL SUCCESSFUL EXECUTIONS:",
+    "failed": "INFO: TOTAL FAILED EXECUTIONS:", "minutes": "INFO: TOTAL RUNTIME IN MINS:",
+}
 #: Server lines; the number of all documents may follow the number of results.
 SERVER = r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) INFO \[[^\]]*Service\] .*numSearchResults=(\d+)(?:;numTotalDocs=\d+)?\].*in (\d+)ms"
 #: Flush lines of either loader.
 FLUSH = r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) INFO \[(?:Batched|Realtime)IndexDataLoader\] .*batch of (\d+)[^:]*: (\d+)[^:]*: (\d+)"
 
 
+def client_log(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of a client's log files: a record's two lines, the time line and the one after it, joined by a newline.
+
+    Lines come with their place in the file, and a line's successor is the one that starts where it ends; so records are
+    whole wherever files are split, and lines are never brought into one order.
+    """
+    sc, hadoop = spark.sparkContext, "org.apache.hadoop"
+    rows = sc.newAPIHadoopFile(path, f"{hadoop}.mapreduce.lib.input.TextInputFormat", f"{hadoop}.io.LongWritable", f"{hadoop}.io.Text")
+    lines = rows.map(lambda r: (r[0], r[0] + len(r[1].encode()) + 1, r[1].rstrip("\r"))).toDF("start long, end long, line string")
+    first = lines.where(F.col("line").rlike(CLIENT_TIME)).select(F.col("end").alias("start"), F.col("line").alias("first"))
+    second = lines.where(F.col("line").rlike("^" + CLIENT_TAKEN)).select("start", F.col("line").alias("second"))
+    return first.join(second, "start").select(F.concat_ws("\n", "first", "second").alias("line"))
+
+
+def totals(lines: DataFrame, line: str = "line") -> DataFrame:
+    """One row: what a client's last lines say, null where there is none."""
+    number = F.regexp_extract(line, r"(\S+)\s*$", 1)
+    return lines.agg(*[F.max(F.when(F.startswith(F.col(line), F.lit(start)), number)).cast("double" if name == "minutes" else "long").alias(name) for name, start in TOTALS.items()])
+
+
+def total_throughput(lines: DataFrame) -> DataFrame:
+    """Transactions a second and a minute by the totals, cut to three decimals."""
+    cut = lambda x: F.floor(x * 1000) / 1000
+    out = totals(lines)
+    return out.select(*TOTALS, cut(F.col("transactions") / (F.col("minutes") * 60)).alias("per_second"), cut(F.col("transactions") / F.col("minutes")).alias("per_minute"))
+
+
 def client_records(lines: DataFrame, line: str = "line") -> DataFrame:
     """ts, n, word, query, hits, ms of records of two lines joined by a newline; other lines are left out."""
     rows = lines.where(F.col(line).rlike(CLIENT_TAKEN))

@@ -1,8 +1,9 @@
 """Ranked search: a query's tree becomes columns over the token arrays of a live view.
 
-A document is read and cut into tokens once; every leaf of the tree is a count over its token array, so matching is a
-narrow projection without an exchange.  Document frequencies are one small aggregate over those counts.  Only the best
-k rows are joined with their stored fields.  Over a stored index, see postings.py.
+A document is read and cut into tokens once; every leaf of the tree is a count over its token array, and the counts leave
+by a generator, so that neither filters nor projections above it cut the text again.  Documents, document frequencies
+and hits are one row of sums over those counts.  Only the best k rows are joined with their stored fields.  Over a
+stored index (postings.py), the counts come from postings and all else is the same.
 
     score = coord * norm * sum over matched leaves of sqrt(tf) * idf^2 * boost / sqrt(length)
     idf = 1 + ln(N / (df + 1)),  coord = matched / leaves,  norm = 1 / sqrt(sum of (idf * boost)^2)
@@ -27,54 +28,65 @@ from ..plans import query_parser as qp
 from .highlight import best_fragment
 
 
-def _many(tokens: Column, leaf: qp.Clause) -> Column:
-    """Whether a token matches a leaf that stands for many terms."""
+def wildcard(text: str) -> str:
+    """The regular expression of a pattern with * and ?."""
+    parts = re.findall(r"\\.|[*?]|[^*?\\]+", text)
+    return "^" + "".join(".*" if p == "*" else "." if p == "?" else re.escape(p.replace("\\", "", 1) if p[0] == "\\" else p) for p in parts) + "$"
+
+
+def holds(leaf: qp.Clause, term: Column) -> Column:
+    """Whether a term is one of those that a leaf stands for."""
+    if isinstance(leaf, qp.Term):
+        return term == leaf.text
     if isinstance(leaf, qp.Prefix):
-        return F.exists(tokens, lambda t: F.startswith(t, F.lit(leaf.text)))
+        return F.startswith(term, F.lit(leaf.text))
     if isinstance(leaf, qp.Wildcard):
-        parts = re.findall(r"\\.|[*?]|[^*?\\]+", leaf.text)
-        pattern = "".join(".*" if p == "*" else "." if p == "?" else re.escape(p.replace("\\", "", 1) if p[0] == "\\" else p) for p in parts)
-        return F.exists(tokens, lambda t: F.rlike(t, F.lit(f"^{pattern}$")))
+        return F.rlike(term, F.lit(wildcard(leaf.text)))
     if isinstance(leaf, qp.Fuzzy):
-        return F.exists(tokens, lambda t: F.levenshtein(t, F.lit(leaf.text), leaf.edits) >= 0)
-
-    def between(t: Column) -> Column:
-        ok = F.lit(True)
-        if leaf.low is not None:
-            ok &= t >= leaf.low if leaf.include_low else t > leaf.low
-        if leaf.high is not None:
-            ok &= t <= leaf.high if leaf.include_high else t < leaf.high
-        return ok
-
-    return F.exists(tokens, between)
+        return F.levenshtein(term, F.lit(leaf.text), leaf.edits) >= 0
+    ok = F.lit(True)
+    if leaf.low is not None:
+        ok &= term >= leaf.low if leaf.include_low else term > leaf.low
+    if leaf.high is not None:
+        ok &= term <= leaf.high if leaf.include_high else term < leaf.high
+    return ok
+
+
+def _phrase(tokens: Column, leaf: qp.Phrase) -> Column:
+    """Places where the words follow each other, each within the slop of its place: arrays of one shift after the other
+    are put together, so every token is looked at once a word."""
+    size = F.greatest(F.size(tokens), F.lit(1))
+    both = lambda a, b: F.coalesce(a & b, F.lit(False))
+    either = lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
+    at = lambda word, place: F.transform(F.slice(tokens, place, size), lambda t: t == word)
+    out = at(leaf.words[0], 1)
+    for k, word in enumerate(leaf.words[1:], 2):
+        here = at(word, k)
+        for place in range(k + 1, k + 1 + leaf.slop):
+            here = F.zip_with(here, at(word, place), either)
+        out = F.zip_with(out, here, both)
+    return F.size(F.filter(out, lambda x: x))
+
+
+def check(leaf: qp.Clause, fields: set[str]) -> None:
+    if not isinstance(leaf, qp.MatchAll) and leaf.field != "content" and leaf.field not in fields:
+        raise qp.QueryError(f"no field {leaf.field}")
+    if isinstance(leaf, qp.Phrase) and leaf.field in fields:
+        raise qp.QueryError(f"{leaf.field} has no positions")
 
 
 def frequency(leaf: qp.Clause, tokens: Column, fields: set[str]) -> Column:
     """How often a document matches a leaf."""
+    check(leaf, fields)
     if isinstance(leaf, qp.MatchAll):
         return F.lit(1)
     if leaf.field in fields:  # a keyword field: its whole value is one term
-        if isinstance(leaf, qp.Phrase):
-            raise qp.QueryError(f"{leaf.field} has no positions")
-        value = F.array(F.coalesce(F.lower(leaf.field), F.lit("")))
-        return (F.lower(leaf.field) == leaf.text).cast("int") if isinstance(leaf, qp.Term) else _many(value, leaf).cast("int")
-    if leaf.field != "content":
-        raise qp.QueryError(f"no field {leaf.field}")
+        return F.coalesce(holds(leaf, F.lower(F.coalesce(leaf.field, F.lit("")) if not isinstance(leaf, qp.Term) else F.col(leaf.field))), F.lit(False)).cast("int")
     if isinstance(leaf, qp.Term):
         return F.size(F.filter(tokens, lambda t: t == leaf.text))
     if isinstance(leaf, qp.Phrase):
-
-        def here(t: Column, i: Column) -> Column:
-            ok = t == leaf.words[0]
-            for k, word in enumerate(leaf.words[1:], 1):
-                if leaf.slop:  # the next words follow within the slop
-                    ok &= F.array_contains(F.slice(tokens, i + 1 + k, F.lit(1 + leaf.slop)), word)
-                else:
-                    ok &= F.get(tokens, i + k) == word
-            return F.coalesce(ok, F.lit(False))
-
-        return F.size(F.filter(tokens, here))
-    return _many(tokens, leaf).cast("int")
+        return _phrase(tokens, leaf)
+    return F.exists(tokens, lambda t: holds(leaf, t)).cast("int")
 
 
 def condition(tree: qp.Clause, match: dict[qp.Clause, Column]) -> Column:
@@ -98,32 +110,56 @@ def _every_leaf(tree: qp.Clause) -> list[qp.Clause]:
     return [leaf for c in (*tree.must, *tree.should, *tree.must_not) for leaf in _every_leaf(c)] if isinstance(tree, qp.Group) else [tree]
 
 
+class Plan:
+    """A query's leaves: all of them, those that score, and each one's column."""
+
+    def __init__(self, query: str | None, keyword_fields: tuple[str, ...]):
+        self.tree, self.fields = qp.parse(query), set(keyword_fields)
+        self.leaves = list(dict.fromkeys(_every_leaf(self.tree)))
+        self.scoring, self.at = qp.leaves(self.tree), {leaf: f"tf{k}" for k, leaf in enumerate(self.leaves)}
+
+    @property
+    def is_hit(self) -> Column:
+        return condition(self.tree, {leaf: F.col(c) > 0 for leaf, c in self.at.items()})
+
+    def counted(self, live: DataFrame, keep: tuple[str, ...], analyzer) -> DataFrame:
+        """uid, the kept columns, length and a count for every leaf, from one look at each text."""
+        keyword_fields = sorted(self.fields)
+        counts = lambda tokens: F.struct(F.size(tokens).alias("length"), *[frequency(leaf, tokens, self.fields).cast("int").alias(c) for leaf, c in self.at.items()])
+        rows = live.select("uid", *dict.fromkeys((*keep, *keyword_fields)), F.array(F.coalesce(analyzer(F.col("content")), F.array().cast("array<string>"))).alias("tokens"))
+        return rows.select("uid", *keep, F.inline(F.transform("tokens", counts)))
+
+    def sums(self, counted: DataFrame):
+        """One row: documents, hits, and the documents that match each leaf."""
+        n = lambda ok: F.coalesce(F.sum(ok.cast("long")), F.lit(0))
+        return counted.agg(F.count(F.lit(1)).alias("n"), n(self.is_hit).alias("hits"), *[n(F.col(c) > 0).alias(c) for c in self.at.values()]).first()
+
+    def scored(self, counted: DataFrame, sums, keep: tuple[str, ...], similarity: Similarity) -> DataFrame:
+        idf = {leaf: similarity.idf(sums["n"], sums[c]) for leaf, c in self.at.items()} if sums else dict.fromkeys(self.leaves, 1.0)
+        norm = math.sqrt(sum((idf[leaf] * leaf.boost) ** 2 for leaf in self.scoring)) or 1.0
+        total, matched = F.lit(0.0), F.lit(0)
+        for leaf in self.scoring:
+            tf = F.col(self.at[leaf])
+            weight = idf[leaf] ** 2 * leaf.boost
+            normed = isinstance(leaf, (qp.Term, qp.Phrase)) and leaf.field not in self.fields
+            part = similarity.tf(tf) * weight * similarity.norm(F.col("length")) if normed else F.lit(weight)
+            total += F.when(tf > 0, part).otherwise(0.0)
+            matched += (tf > 0).cast("int")
+        score = F.lit(1.0) if isinstance(self.tree, qp.MatchAll) else (matched / max(len(self.scoring), 1) if similarity.coord else F.lit(1.0)) * total / norm
+        return counted.where(self.is_hit).select("uid", *keep, F.round(score, 6).alias("score"))
+
+    @property
+    def needs_sums(self) -> bool:
+        return any(not isinstance(leaf, qp.MatchAll) for leaf in self.scoring)
+
+
 def matches(live: DataFrame, query: str | None, keyword_fields: tuple[str, ...] = ("lang", "source"), keep: tuple[str, ...] = (), analyzer=terms, similarity: Similarity = CLASSIC) -> DataFrame:
     """uid and score of every hit (and the columns in `keep`)."""
-    tree = qp.parse(query)
-    fields = set(keyword_fields)
-    all_leaves = list(dict.fromkeys(_every_leaf(tree)))
-    scoring = qp.leaves(tree)
-    counted = live.select("uid", *keep, *keyword_fields, analyzer(F.col("content")).alias("tokens"))
-    counted = counted.select("uid", *keep, F.size("tokens").alias("length"), *[frequency(leaf, F.col("tokens"), fields).alias(f"tf{k}") for k, leaf in enumerate(all_leaves)])
-    at = {leaf: f"tf{k}" for k, leaf in enumerate(all_leaves)}
-    if any(not isinstance(leaf, qp.MatchAll) for leaf in scoring):  # one row with a number per leaf
-        sums = counted.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum((F.col(c) > 0).cast("long")), F.lit(0)).alias(c) for c in at.values()]).first()
-        idf = {leaf: similarity.idf(sums["n"], sums[c]) for leaf, c in at.items()}
-    else:
-        idf = dict.fromkeys(all_leaves, 1.0)
-    norm = math.sqrt(sum((idf[leaf] * leaf.boost) ** 2 for leaf in scoring)) or 1.0
-    total, matched = F.lit(0.0), F.lit(0)
-    for leaf in scoring:
-        tf = F.col(at[leaf])
-        weight = idf[leaf] ** 2 * leaf.boost
-        normed = isinstance(leaf, (qp.Term, qp.Phrase)) and leaf.field not in fields
-        part = similarity.tf(tf) * weight * similarity.norm(F.col("length")) if normed else F.lit(weight)
-        total += F.when(tf > 0, part).otherwise(0.0)
-        matched += (tf > 0).cast("int")
-    match = {leaf: F.col(c) > 0 for leaf, c in at.items()}
-    score = F.lit(1.0) if isinstance(tree, qp.MatchAll) else (matched / len(scoring) if similarity.coord else F.lit(1.0)) * total / norm
-    return counted.where(condition(tree, match)).select("uid", *keep, F.round(score, 6).alias("score"))
+    plan = Plan(query, keyword_fields)
+    if isinstance(plan.tree, qp.MatchAll):  # no text has to be read
+        return live.select("uid", *keep, F.lit(1.0).alias("score"))
+    counted = plan.counted(live, keep, analyzer)
+    return plan.scored(counted, plan.sums(counted) if plan.needs_sums else None, keep, similarity)
 
 
 def top(hits: DataFrame, k: int = 10) -> DataFrame:
@@ -143,11 +179,19 @@ class SearchService:
         self.view, self.fields = view, fields
 
     def search(self, request: SearchRequest) -> SearchResult:
+        """Two looks at the view: one for the sums, which also give the numbers of hits and documents, one for the best hits."""
         began = time.perf_counter()
+        took = lambda: (time.perf_counter() - began) * 1000
         live = self.view()  # the snapshot that the whole search reads
-        hits = matches(live, request.query)
-        words = [leaf.text for leaf in qp.leaves(qp.parse(request.query)) if isinstance(leaf, qp.Term)]
-        best = with_fields(top(hits, request.k), live, [*self.fields, "content"])
-        rows = best.withColumn("fragment", best_fragment(F.col("content"), words)).drop("content").orderBy(F.col("score").desc(), "uid").collect()
+        plan = Plan(request.query, tuple(f for f in ("lang", "source") if live is not None and f in live.columns))
+        if live is None:
+            return SearchResult(0, 0, took())
+        counted = plan.counted(live, (), terms)
+        sums = plan.sums(counted)
+        words = [leaf.text for leaf in plan.scoring if isinstance(leaf, qp.Term)]
+        rows = []
+        if sums["hits"] and request.k > 0:
+            best = with_fields(top(plan.scored(counted, sums if plan.needs_sums else None, (), CLASSIC), request.k), live, [*self.fields, "content"])
+            rows = best.withColumn("fragment", best_fragment(F.col("content"), words)).drop("content").orderBy(F.col("score").desc(), "uid").collect()
         out = [SearchHit(r["score"], {f: [str(r[f])] for f in ("uid", *self.fields, "fragment")}) for r in rows]
-        return SearchResult(hits.count(), live.count(), (time.perf_counter() - began) * 1000, out)
+        return SearchResult(sums["hits"], sums["n"], took(), out)

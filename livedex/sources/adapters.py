@@ -60,8 +60,14 @@ def file_documents(files: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def content_documents(content: DataFrame, date_format: str = "dd-MMM-yyyy HH:mm:ss.SSS") -> DataFrame:
-    """Content rows (id, title, body, date) as documents; the date is kept beside its text form."""
-    return content.select(F.col("id").alias("uid"), "title", "body", "date", F.date_format("date", date_format).alias("date_text"))
+    """Content rows (id, title, body, date and, if there is one, a map `props`) as documents: the date is kept beside its text
+    form, and `fields` has every field by name, those of `props` too, without null ones."""
+    named = {"title": F.col("title"), "body": F.col("body"), "date": F.date_format("date", date_format)}
+    own = F.create_map(*[x for name, value in named.items() for x in (F.lit(name), value)])
+    if "props" in content.columns:
+        props = F.map_filter(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(*named))
+        own = F.map_concat(own, props)
+    return content.select(F.col("id").alias("uid"), "title", "body", "date", named["date"].alias("date_text"), F.map_filter(own, lambda _, v: v.isNotNull()).alias("fields"))
 
 
 def looping(changes: DataFrame, most: int) -> DataFrame:
@@ -82,3 +88,23 @@ def clean_content(rows: DataFrame, column: str, skipped_prefixes: tuple[str, ...
 def source_counts(files: DataFrame) -> DataFrame:
     """Documents and bytes that a file source has read, one row (files: path, bytes)."""
     return files.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+class SourceCounter:
+    """Documents and bytes that a file source has read: since the last reset, and in all."""
+
+    def __init__(self) -> None:
+        self.docs = self.bytes = self.total_docs = self.total_bytes = 0
+
+    def add(self, files: DataFrame) -> None:
+        found = source_counts(files).first()
+        self.docs, self.bytes = self.docs + found["docs"], self.bytes + found["bytes"]
+        self.total_docs, self.total_bytes = self.total_docs + found["docs"], self.total_bytes + found["bytes"]
+
+    def reset(self) -> None:
+        self.docs = self.bytes = 0
+
+
+def query_file(spark: SparkSession, path: str) -> DataFrame:
+    """(query) of a file with one query a line; empty lines are left out."""
+    return spark.read.text(path).select(F.trim("value").alias("query")).where("query <> ''")

@@ -305,7 +305,8 @@ class Poll:
 
 
 def file_tree(spark: SparkSession, root: str, rounds: int = 1) -> DataFrame:
-    """Every file below a folder: path, text, and a version by the order of paths; `rounds` go through it several times.
+    """Every file below a folder that isn't empty: path, text, and a version by the order of paths; `rounds` go through it
+    several times.
 
     Only paths are brought into one order; contents stay where they are read and are joined by path.
     """
