@@ -12,8 +12,11 @@ p(w | v) = (c(v w) - D) / c(v) + b(v) p(w), where p(w) = (c(w) + 1) / (N + V + 1
 the counts of counts of the context's shard.  Probabilities over known words and one unknown word sum to one before
 quantisation; a quantised value stands for the mean of a 256th of its range of logarithms.
 
-Counts travel as packed arrays per shard, summed per task before the shuffle, so a frequent word is one entry a task.
-What is gathered grows with the distinct words and pairs of the corpus; nothing is pruned.
+Counts travel as packed arrays, summed per task before the shuffle, so a frequent word or pair is one entry a task.  They
+are dealt by shard and by a part of the words first, where what the tasks have counted is summed, and the sums of a shard's
+parts then meet: so a frequent context's successors come from all tasks to many places, and each pair to its shard once.
+What is gathered grows with the distinct words and pairs of the corpus; nothing is pruned.  Ids are 32 bits: a corpus of
+more distinct words raises an OverflowError.
 
 Defined results: a null text is empty and has one token, the end; with no training text every token is unknown and
 scores log10(1 / 1) = 0; rows keep their number; only doc_id and text are read.
@@ -62,23 +65,33 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[first], np.add.reduceat(count, first) if len(first) else count
 
 
+#: Files that this process has mapped, of the model it used last.  Workers live on from task to task.
+_OPEN: dict[str, dict[str, np.ndarray]] = {}
+#: Parts of a shard's words that are summed on their own.
+PARTS = 8
+
+
+def opened(folder: str, name: str) -> dict[str, np.ndarray]:
+    path = f"{folder}/{name}"
+    if path not in _OPEN:
+        for other in [k for k in _OPEN if not k.startswith(f"{folder}/")]:
+            del _OPEN[other]
+        _OPEN[path] = mapped(path)
+    return _OPEN[path]
+
+
 class Model:
-    """Where the shards are, and what is known of all of them; opened lazily on each worker."""
+    """Where the shards are, and what is known of all of them; files are opened lazily, once a worker."""
 
     def __init__(self, folder: str, shards: int, sizes: np.ndarray, tokens: int):
         self.folder, self.shards, self.tokens = folder, shards, tokens
         self.first_id = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.vocabulary = int(self.first_id[-1])
-        self.open: dict[str, dict[str, np.ndarray]] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"open": {}}
+        if self.vocabulary >= 1 << 32:
+            raise OverflowError(f"{self.vocabulary} distinct words, ids have 32 bits")
 
     def arrays(self, kind: str, shard: int) -> dict[str, np.ndarray]:
-        name = f"{self.folder}/{kind}-{shard}"
-        if name not in self.open:
-            self.open[name] = mapped(name)
-        return self.open[name]
+        return opened(self.folder, f"{kind}-{shard}")
 
     def shard_of(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - (self.shards - 1).bit_length())).astype(np.int64) if self.shards > 1 else np.zeros(len(hashes), np.int64)
@@ -141,22 +154,27 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed_counts(docs: DataFrame, count, shards: int) -> DataFrame:
-    """Rows (shard, keys, counts) of what `count(text column) -> (shard, sorted keys, counts)` finds, summed per task."""
+    """Rows (shard, keys, counts) of the keys that `count(text column)` finds, a row or few for each part of a shard."""
+
+    def packed(shard: int, part: int, key: np.ndarray, n: np.ndarray):
+        for at in range(0, len(key), 1 << 21):
+            piece = slice(at, at + (1 << 21))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([count.pack(key[piece])], pa.binary()), pa.array([n[piece].astype("<u8" if n[piece].max() >> 32 else "<u4").tobytes()], pa.binary())],
+                ["shard", "part", "keys", "counts"],
+            )
 
     def rows(batches):
         keys, counts, held = [], [], 0
 
         def flush():
             key, n = summed(keys, counts)
-            shard = count.shard(key)
-            edges = np.searchsorted(shard, np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(edges)):
-                part = slice(edges[s], edges[s + 1])
-                for at in range(part.start, part.stop, 1 << 21):
-                    piece = slice(at, min(part.stop, at + (1 << 21)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(s)], pa.int32()), pa.array([count.pack(key[piece])], pa.binary()), pa.array([n[piece].astype("<u4").tobytes()], pa.binary())], ["shard", "keys", "counts"]
-                    )
+            place = count.shard(key) * PARTS + count.part(key)
+            order = np.argsort(place, kind="stable")
+            key, n, place = key[order], n[order], place[order]
+            for group in np.split(np.arange(len(key)), np.flatnonzero(np.diff(place)) + 1):
+                if len(group):
+                    yield from packed(*divmod(int(place[group[0]]), PARTS), key[group], n[group])
 
         for batch in slices(batches, 3_000_000, rows=1 << 20):
             key, n = np.unique(count(batch.column("text")), return_counts=True)
@@ -169,7 +187,19 @@ def packed_counts(docs: DataFrame, count, shards: int) -> DataFrame:
         if keys:
             yield from flush()
 
-    return docs.select("text").mapInArrow(tidy(rows), "shard int, keys binary, counts binary")
+    def together(key, table):
+        return pa.Table.from_batches(packed(key[0].as_py(), key[1].as_py(), *gathered(table, count.unpack)))
+
+    schema = "shard int, part int, keys binary, counts binary"
+    counted = docs.select("text").mapInArrow(tidy(rows), schema)
+    return counted.groupBy("shard", "part").applyInArrow(together, schema)
+
+
+def gathered(table, unpack) -> tuple[np.ndarray, np.ndarray]:
+    """The summed keys and counts of rows that packed_counts() made."""
+    keys = [unpack(k.as_py()) for k in table.column("keys")]
+    counts = [np.frombuffer(raw, "<u4" if len(raw) == 4 * len(k) else "<u8").astype(np.int64) for k, raw in zip(keys, (c.as_py() for c in table.column("counts")), strict=True)]
+    return summed(keys, counts)
 
 
 class WordCount:
@@ -183,9 +213,15 @@ class WordCount:
     def shard(self, keys):
         return self.model.shard_of(keys)
 
+    def part(self, keys):
+        return (keys % np.uint64(PARTS)).astype(np.int64)
+
     def pack(self, keys) -> bytes:
         return keys.astype("<u8").tobytes()
 
+    def unpack(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, "<u8")
+
 
 class PairCount:
     """Keys are context << 32 | word, as ids; packed as the contexts' ids, their numbers of words, and the words."""
@@ -205,15 +241,17 @@ class PairCount:
     def shard(self, keys):
         return np.searchsorted(self.model.first_id, (keys >> np.uint64(32)).astype(np.int64), "right") - 1
 
+    def part(self, keys):
+        return (keys & np.uint64(0xFFFFFFFF)).astype(np.int64) * PARTS // max(self.model.vocabulary, 1)
+
     def pack(self, keys) -> bytes:
         context, n = np.unique(keys >> np.uint64(32), return_counts=True)
         return b"".join([len(context).to_bytes(8, "little"), context.astype("<u4").tobytes(), n.astype("<u4").tobytes(), keys.astype("<u4").tobytes()])
 
-
-def unpacked(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
-    body = np.frombuffer(raw, "<u4", offset=8)
-    return (np.repeat(body[:n], body[n : 2 * n]).astype(np.uint64) << np.uint64(32)) | body[2 * n :].astype(np.uint64)
+    def unpack(self, raw: bytes) -> np.ndarray:
+        n = int.from_bytes(raw[:8], "little")
+        body = np.frombuffer(raw, "<u4", offset=8)
+        return (np.repeat(body[:n], body[n : 2 * n]).astype(np.uint64) << np.uint64(32)) | body[2 * n :].astype(np.uint64)
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -254,9 +292,7 @@ def trained(docs: DataFrame) -> Model:
 
     def word_level(key, table):
         shard = key[0].as_py()
-        keys = [np.frombuffer(k.as_py(), "<u8") for k in table.column("keys")]
-        counts = [np.frombuffer(k.as_py(), "<u4").astype(np.int64) for k in table.column("counts")]
-        hashes, n = summed(keys, counts)
+        hashes, n = gathered(table, lambda raw: np.frombuffer(raw, "<u8"))
         write(f"{folder}/words-{shard}", {"hash": hashes, "count": n})
         return pa.table({"shard": pa.array([shard], pa.int32()), "size": pa.array([len(hashes)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
 
@@ -268,14 +304,13 @@ def trained(docs: DataFrame) -> Model:
 
     def pair_level(key, table):
         shard = key[0].as_py()
-        keys = [unpacked(k.as_py()) for k in table.column("keys")]
-        counts = [np.frombuffer(k.as_py(), "<u4").astype(np.int64) for k in table.column("counts")]
-        keys, n = summed(keys, counts)
+        keys, n = gathered(table, pairs.unpack)
         write(f"{folder}/pairs-{shard}", trie_level(model, shard, keys, n))
         return pa.table({"shard": pa.array([shard], pa.int32()), "size": pa.array([len(keys)], pa.int64())})
 
+    pairs = PairCount(model)
     if model.vocabulary:
-        packed_counts(docs, PairCount(model), shards).groupBy("shard").applyInArrow(pair_level, "shard int, size long").collect()
+        packed_counts(docs, pairs, shards).groupBy("shard").applyInArrow(pair_level, "shard int, size long").collect()
     return model
 
 

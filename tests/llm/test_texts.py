@@ -342,6 +342,42 @@ def test_lm_probabilities_sum_to_one(spark):
         assert p.sum() == pytest.approx(1, abs=0.03)  # quantised
 
 
+def test_lm_score_is_the_bigram_model(spark, sf_dir):
+    """Scores against probabilities from dictionaries, without tries; stored ones are quantised."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: (r["held_out"], r["score"]) for r in lm_scoring.scored(docs).collect()}
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    every = {k: ["</>", *WORD.findall(lower(t)), "</>"] for k, t in texts_of(docs)}
+    one, two = collections.Counter(), collections.Counter()
+    for k, ws in every.items():
+        if not got[k][0]:
+            one.update(ws[1:])
+            two.update(itertools.pairwise(ws))
+    n, v = sum(one.values()), len(one)
+    shards, names = lm_scoring.Model("", 64, np.zeros(64, int), 0), [w for w in one if w != "</>"]
+    shard = dict(zip(names, shards.shard_of(Words()(*utf8(names))[0]).tolist(), strict=True)) | {"</>": int(shards.shard_of(np.array([lm_scoring.END]))[0])}
+    by = collections.defaultdict(list)
+    for (a, _), c in two.items():
+        by[shard[a]].append(c)
+    off = {s: lm_scoring.discounts(np.array(c)) for s, c in by.items()}
+    total, back = collections.Counter(), collections.Counter()
+    for (a, _), c in two.items():
+        total[a] += c
+        back[a] += min(off[shard[a]][min(c, 3) - 1], c)
+
+    def p(a, b):
+        base = (one[b] + 1) / (n + v + 1)
+        if not total[a]:
+            return base
+        c = two[a, b]
+        return (c - min(off[shard[a]][min(c, 3) - 1], c) if c else 0.0) / total[a] + back[a] / total[a] * base
+
+    assert sum(p("the", w) for w in one) + p("the", "never seen") == pytest.approx(1)
+    for k, ws in every.items():
+        want = sum(math.log10(p(a, b)) for a, b in itertools.pairwise(ws))
+        assert got[k][1] == pytest.approx(want, abs=0.01 * len(ws) + 0.05), k
+
+
 def test_lm_beats_its_base_on_held_out_text(spark, sf_dir):
     out = lm_scoring.scored(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert out["s"] > out["b"]
