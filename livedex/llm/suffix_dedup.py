@@ -15,9 +15,14 @@ Digits are compared by 64-bit hashes, and a group in pass 2 or 3 agrees in two o
 longer string).  Groups are counted, never gathered: counts are aggregated before the shuffle, so a string that a third
 of all documents share costs no more than any other.
 
+Sums and lists that a frequent string could make long are written before they are joined, so that Spark can split a
+frequent key: the anchors that occur again, and the groups of pass 2.  Windows of pass 3 are joined with counts of
+themselves; of anchors that agree in pass 2 only one is there, whatever the number of documents.
+
 Matches never cross documents, as windows don't.  Defined results: a null text is empty; a row that repeats another is
-a document of its own (and both are removed where they have 400 bytes); rows without doc_id are told apart by their
-text; only doc_id and text are read.
+a document of its own (and both are removed where they have 400 bytes); a text is told apart from others by a 64-bit hash
+of doc_id and text and 16 bits of another hash of it, so rows may share a doc_id or have none; only doc_id and text are
+read.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE, INVERSE, mixed, powers, slices, stored, tidy, utf8
+from .common import BASE, BYTE, INVERSE, dropped, mixed, powers, slices, stored, tidy, utf8
 
 LENGTH, ANCHOR = 400, 256
 #: Bytes of text that are hashed at a time; about a hundred bytes of memory each.
@@ -145,14 +150,15 @@ def window_rows(texts: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and `kept`, binary) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("doc"), "doc_id", "text")
-    every = anchor_rows(given.select("doc", "text"))
+    given = docs.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
+    every = stored(anchor_rows(given.select("doc", "text")), "every")
     # Pass 1: anchors that occur again.
-    again = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    again = stored(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
     shared = stored(every.join(again, "h"), "anchors")
+    dropped(every, again)
     # Pass 2: those whose windows all occur again, and groups that must be looked into.
-    alike = shared.groupBy("h", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("one"))
-    mixed_groups = alike.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("h")
+    alike = stored(shared.groupBy("h", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("one")), "alike")
+    mixed_groups = stored(alike.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("h"), "mixed")
     sure = shared.join(alike.where("n > 1").select("h", "whole"), ["h", "whole"])
     first = F.shiftright("at", 32) - F.shiftright("at", 24).bitwiseAND(0xFF)
     last = F.shiftright("at", 32) - F.shiftright("at", 16).bitwiseAND(0xFF)
@@ -167,7 +173,8 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     found = windows.where("NOT known").join(twice, ["h", "w"])
     found = found.select("doc", F.col("at").bitwiseAND(0xFFFF).alias("sign"), F.shiftright("at", 16).alias("first"), (F.shiftright("at", 16) + LENGTH).alias("end"), "h")
     found = found.groupBy("doc", "sign", "h", F.floor(F.col("first") / CHOICE)).agg(F.min("first").alias("first"), F.max("end").alias("end")).select("doc", "sign", "first", "end")
-    spans = sure.unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("sign", "first", "end")).alias("spans"))
+    # Rows that repeat one have its spans too, and need them once.
+    spans = sure.unionByName(found).distinct().groupBy("doc").agg(F.collect_list(F.struct("sign", "first", "end")).alias("spans"))
 
     def rows(batches):
         for batch in slices(batches, SLICE, rows=1 << 20):

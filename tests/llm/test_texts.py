@@ -304,6 +304,17 @@ def test_suffix_dedup(spark, odd):
     assert suffix_dedup.deduplicated(odd.limit(0)).count() == 0
 
 
+def test_texts_that_share_a_doc_id_are_told_apart(spark):
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choice("abcdefg") for _ in range(n))
+    shared = noise(500)
+    # Hundreds of texts under one id, and under none, some with a shared passage.
+    rows = [(7 if k % 2 else None, (noise(600) if k % 3 else noise(40) + shared + noise(60)), "x", "s", 1) for k in range(300)] + [(7, "x" * 500, "x", "s", 1)] * 2
+    docs = frame(spark, rows)
+    out = suffix_dedup.deduplicated(docs).collect()
+    assert sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in out) == brute_removal(texts_of(docs))
+
+
 # -- language model
 
 
