@@ -514,3 +514,47 @@ def test_personal_data_beside_base_spans_and_in_long_lists():
         numbers = [f"({200 + k}) {999 - k}-{4000 + 29 * k}" for k in range(n)]
         assert added("call " + " / ".join(numbers)) == numbers and added("call 12 34 " + " - ".join(numbers)) == numbers
     assert pii.without("Tel +1 555 123 4567 / 555-987-6543", field) == "Tel [PHONE] / [PHONE]"
+
+
+def test_field_against_all_segmentations():
+    """Best segmentation and posteriors by dynamic programming, and by listing every segmentation."""
+    field = pii.trained()
+    for text in ("call 555-987-6543 x", "id 123 4567 89", "mail bob at ab dot com", "10 . 0 . 0 . 1 host", "4078918989542222 605-555", "a b"):
+        cuts = pii.tokens(text)
+        scored = field.scored(pii.candidates(text, cuts))
+        starts = collections.defaultdict(list)
+        for s in scored:
+            starts[s[0]].append(s)
+
+        def every(t, starts=starts, n=len(cuts)):
+            if t == n:
+                yield 0.0, ()
+                return
+            yield from every(t + 1)
+            for s in starts[t]:
+                for score, rest in every(s[1]):
+                    yield score + s[4], (s[:3], *rest)
+
+        ways = list(every(0))
+        total = sum(math.exp(score) for score, _ in ways)
+        top = max(score for score, _ in ways)
+        got = field.best(text)
+        spans = {(cuts[i][0], cuts[j - 1][1], kind): sum(math.exp(score) for score, segments in ways if (i, j, kind) in segments) / total for i, j, kind, *_ in scored}
+        assert sum(next(s[4] for s in scored if (cuts[s[0]][0], cuts[s[1] - 1][1], s[2]) == g[:3]) for g in got) == pytest.approx(top)
+        for a, b, kind, sure in got:
+            assert sure == pytest.approx(spans[a, b, kind], abs=1e-9)
+
+
+def test_personal_data_in_documents():
+    """On the documents, what the field adds is few and right: numbers that the patterns run together with their neighbours."""
+    import pyarrow.parquet as pq
+
+    field, base, added = pii.trained(), 0, []
+    for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist():
+        spans = pii.base_spans(t or "")
+        base += len(spans)
+        added += [(kind, (t or "")[a:b]) for a, b, kind in pii.added_spans(t or "", spans, field)]
+    assert base > 600 and len(added) >= 3
+    for kind, found in added:
+        digits = re.sub("[^0-9]", "", found)
+        assert {"card": pii.luhn(digits) and 12 <= len(digits) <= 19, "phone": found.startswith("+") and 9 <= len(digits) <= 15}.get(kind, False), found
