@@ -7,9 +7,9 @@ none with a probability of 3e-6).  Inside a component, pairs compare MinHash val
 values equal and a uniform prior, the posterior probability of similarity t or more is P(Bin(n + 1, t) <= m), and a
 pair is dropped when that falls below the tolerance.  The pairs that stay are verified exactly, on whole sets.
 
-Small components are packed into tasks together; a large one is cut into blocks of nodes, and each pair of blocks is a
-task of its own.  A task returns one row per node with a link: the number of documents it links with there, and the
-root of a spanning forest of the links.  Pairs are never written.
+Small components are packed into tasks together; a large one is cut into blocks of nodes with a common neighbour, and
+each pair of blocks that shares a bucket is a task of its own.  A task returns one row per node with a link: the number
+of documents it links with there, and the root of a spanning forest of the links.  Pairs are never written.
 
 Defined results: words are runs of other bytes than white space; a text of one to four words is one shingle of all its
 words; a null text, or one without words, links with nothing and is its own class; every row is a document, also where
@@ -114,8 +114,8 @@ def numbered(sign: DataFrame) -> DataFrame:
     return cut(out.withColumn("node", F.when(other, F.xxhash64("key1", "key2").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)).otherwise(F.col("doc"))).drop("first"))
 
 
-def stars(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) from the least node of every bucket to its other ones."""
+def held(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, a): the nodes of every bucket with two or more, and the least of them."""
 
     def buckets(batches):
         for batch in batches:
@@ -124,7 +124,32 @@ def stars(nodes: DataFrame) -> DataFrame:
 
     dealt = nodes.select("node", "bands").mapInArrow(tidy(buckets), "node long, bucket long")
     shared = cut(dealt.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("bucket", "a"))
-    return dealt.join(shared, "bucket").where("node > a").select("a", F.col("node").alias("b")).distinct()
+    return dealt.join(shared, "bucket")
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """Edges (a, b) from the least node of every bucket to its other ones."""
+    return members.where("node > a").select("a", F.col("node").alias("b")).distinct()
+
+
+def blocked(members: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of large components (id, component): the block of each node (id, block), and the pairs of blocks (component, x, y), x <= y,
+    that share a bucket.
+
+    Nodes with the same least neighbour stand together, so most buckets lie in few blocks, and blocks of parts of a
+    component that only a chain of other documents connects are not compared.
+    """
+    inside = cut(members.join(large, members["node"] == large["id"]).select("component", "bucket", "node", "a"))
+    centre = cut(inside.groupBy("component", "node").agg(F.min("a").alias("centre")))
+    groups = cut(centre.groupBy("component", "centre").agg(F.count(F.lit(1)).alias("n")))
+    sizes = cut(groups.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks")))
+    few = F.pmod(F.xxhash64("centre"), F.col("blocks"))
+    own = F.lit(1 << 40) + F.pmod(F.xxhash64("centre"), F.lit(1 << 30)) * 1024 + F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK).cast("long"))
+    block = F.when(F.col("n") <= BLOCK, few).otherwise(own)  # two that meet in one number only make a larger block
+    blocks = cut(centre.join(groups, ["component", "centre"]).join(sizes, "component").select(F.col("node").alias("id"), block.alias("block")))
+    stand = cut(inside.join(blocks, inside["node"] == blocks["id"]).select("component", "bucket", "block").distinct())
+    x, y = stand.withColumnRenamed("block", "x"), stand.withColumnRenamed("block", "y")
+    return blocks, cut(x.join(y, ["component", "bucket"]).where("x <= y").select("component", "x", "y").distinct())
 
 
 def least_equal(t: float, tolerance: float) -> list[int]:
@@ -203,29 +228,32 @@ def similar(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> tuple[np.nd
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, links: documents it links with, root: a node it is connected with), a few rows per node."""
-    parts = cut(components(stars(nodes)))
+    members = held(nodes)
+    parts = cut(components(stars(members)))
     sizes = cut(parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    wide = parts.join(sizes.where(F.col("n") > BLOCK), "component").select("id", "component")
     parts = parts.join(sizes, "component").join(nodes.select(F.col("node").alias("id"), "weight", "doc", "hash", "shingles"), "id")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    parts = parts.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
 
     def sets(batches):
         words = Words()
         for batch in slices(batches):
             found = [s.tobytes() for s in shingle_sets(batch.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "id", "weight", "blocks", "block")), pa.array(found, pa.binary())], ["component", "id", "weight", "blocks", "block", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "id", "weight", "n")), pa.array(found, pa.binary())], ["component", "id", "weight", "n", "shingles"])
 
     # A task takes whole components of about TASK shingles in all, so that a few very long texts don't meet in one.
     groups = max(16, (parts.agg(F.sum("shingles")).first()[0] or 0) // TASK)
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"), "text")
-    whole = parts.join(texts, ["doc", "hash"]).select("component", "id", "weight", "blocks", "block", "text")
-    whole = whole.mapInArrow(tidy(sets), "component long, id long, weight long, blocks long, block long, shingles binary").where(F.length("shingles") > 0)
-    # A component of one block goes to a task with others like it; one of more blocks has a task for each pair of them.
-    small = whole.where("blocks = 1").select(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("g"), F.lit(-1).cast("long").alias("x"), F.lit(-1).cast("long").alias("y"), "component", "id", "weight", "block", "shingles")
-    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    large = whole.where("blocks > 1").withColumn("other", F.explode(others)).select(
-        F.col("component").alias("g"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "component", "id", "weight", "block", "shingles"
-    )
+    whole = parts.join(texts, ["doc", "hash"]).select("component", "id", "weight", "n", "text")
+    whole = whole.mapInArrow(tidy(sets), "component long, id long, weight long, n long, shingles binary").where(F.length("shingles") > 0)
+    # A component of one block goes to a task with others like it; one of more blocks has a task for each pair that shares a bucket.
+    none = F.lit(-1).cast("long")
+    small = whole.where(F.col("n") <= BLOCK).select(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("g"), none.alias("x"), none.alias("y"), "component", "id", "weight", none.alias("block"), "shingles")
+    rows = small
+    if not wide.isEmpty():
+        blocks, pairs = blocked(members, wide)
+        asked = pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y"))))
+        large = whole.where(F.col("n") > BLOCK).join(blocks, "id").join(asked, ["component", "block"])
+        rows = small.unionByName(large.select(F.col("component").alias("g"), "x", "y", "component", "id", "weight", "block", "shingles"))
 
     def compare(key, rows):
         x, y = key[1].as_py(), key[2].as_py()
@@ -252,7 +280,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 out.append(pa.RecordBatch.from_arrays([pa.array(name[has]), pa.array(sums[has].astype(np.int64)), pa.array(name[root[has]])], ["node", "links", "root"]))
         return pa.Table.from_batches(out)
 
-    return cut(small.unionByName(large).groupBy("g", "x", "y").applyInArrow(compare, "node long, links long, root long"))
+    return cut(rows.groupBy("g", "x", "y").applyInArrow(compare, "node long, links long, root long"))
 
 
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
