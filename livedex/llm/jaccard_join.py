@@ -319,3 +319,28 @@ def representatives(docs: DataFrame) -> DataFrame:
     own = docs.where(worded).withColumns({key[0]: F.col("doc_id").cast("long"), key[1]: F.xxhash64("text")})
     kept = own.join(stay.toDF(*key), key, "left_semi").dropDuplicates(key).drop(*key)
     return kept.select(*docs.columns).unionByName(docs.where(~worded))
+
+
+#: The classes in DuckDB's SQL over `documents`, from all pairs that share a shingle.
+ORACLE = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM worded
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), hashed AS (
+  SELECT doc_id, hash(s) AS h FROM shingles
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM hashed a JOIN hashed b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)
+), sides AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN sides l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS class_id FROM reach GROUP BY a
+)
+SELECT doc_id, class_id, (SELECT count(*) FROM sides WHERE sides.a = doc_id)::BIGINT AS n_links FROM documents JOIN least ON least.a = doc_id
+"""

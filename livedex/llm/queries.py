@@ -64,7 +64,9 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_chat_formatting": chat_format.ORACLE,
+    "op2_suffix_array_dedup": suffix_dedup.ORACLE,
     "op7_exact_top_k": topk_search.ORACLE,
     "op8_embedding_near_dedup": embedding_dedup.ORACLE,
+    "op9_ngram_jaccard_join": jaccard_join.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }

@@ -199,3 +199,31 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text]
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return texts.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(tidy(rows), schema)
+
+
+#: The same in DuckDB's SQL over `documents`: every window of every text, as hexadecimal digits, by a 64-bit hash.
+ORACLE = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents
+), pieces AS (
+  SELECT r, c, substr(x, 4096 * c + 1, {4096 + 2 * LENGTH}) AS y, least(2048, len(x) // 2 - {LENGTH - 1} - 2048 * c) AS n
+  FROM texts, LATERAL (SELECT unnest(range(0, (len(x) // 2 - {LENGTH}) // 2048 + 1)) AS c) WHERE len(x) // 2 >= {LENGTH}
+), windows AS (
+  SELECT r, 2048 * c + q AS p, hash(substr(y, 2 * q + 1, {2 * LENGTH})) AS h FROM pieces, LATERAL (SELECT unnest(range(0, n)) AS q)
+), twice AS (
+  SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + {LENGTH} THEN 0 ELSE 1 END AS new FROM windows JOIN twice USING (h)
+), numbered AS (
+  SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM gone
+), runs AS (
+  SELECT r, min(p) AS first, max(p) + {LENGTH} AS last FROM numbered GROUP BY r, run
+), before AS (
+  SELECT *, coalesce(lag(last) OVER (PARTITION BY r ORDER BY first), 0) AS open FROM runs
+), kept AS (
+  SELECT r, sum(last - first) AS n_removed, count(*) AS n_spans, max(last) AS tail, string_agg(substr(x, 2 * open + 1, 2 * (first - open)), '' ORDER BY first) AS k FROM before JOIN texts USING (r) GROUP BY r
+)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN k.r IS NULL THEN x ELSE k || substr(x, 2 * tail + 1) END)) AS kept_sha256
+FROM texts LEFT JOIN kept k USING (r)
+"""
