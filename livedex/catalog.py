@@ -246,15 +246,16 @@ def nrt_throttled_view(spark, d):
     return _row(liveview.live(changes.where(F.col("ts") <= F.lit(str(tick)).cast("timestamp_ntz"))))
 
 
-@query(f"{E} SELECT version // (n // 4) AS batch, count(*) AS events, max(version) AS version, TRUE AS durable FROM e, size WHERE version < n // 4 * 4 GROUP BY ALL")
+@query(f"{E} SELECT least(version // (n // 4), 3) AS batch, count(*) AS events, max(version) AS version, TRUE AS durable FROM e, size GROUP BY ALL")
 def flush_batches(spark, d):
     """Batches of changes through an ingest whose batch size is a quarter of them: what each flush made durable."""
     changes, n = adapters.event_changes(spark, d), table(spark, d, "events").count()
     size, store, out = n // 4, new_store(spark), []
     ingest = Ingest(store, lambda rows: rows, IngestConfig(batch_size=size))
-    half = max(size // 2, 1)
-    for k in range(0, size * 4, half):
-        ingest.batch(changes.where((F.col("version") >= k) & (F.col("version") < min(k + half, size * 4))))
+    # Two batches a flush; the last one also takes what four quarters leave over.
+    starts = [x for k in range(4) for x in (k * size, k * size + size // 2)]
+    for low, high in zip(starts, [*starts[1:], n], strict=True):
+        ingest.batch(changes.where((F.col("version") >= low) & (F.col("version") < high)))
         m = store.manifest()
         if not m.deltas:
             before = sum(x[1] for x in out)
@@ -330,16 +331,17 @@ def src_stream_batches(spark, d):
     return store.live().groupBy("batch").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("SELECT event_id // 250 AS batch, count(*) AS events, min(event_id) AS first, max(event_id) AS last FROM events WHERE event_id < 1000 GROUP BY batch")
+@query("SELECT event_id // greatest(n // 4, 1) AS batch, count(*) AS events, min(event_id) AS first, max(event_id) AS last FROM events, (SELECT count(*) AS n FROM events) GROUP BY ALL")
 def src_memory_events(spark, d):
-    """A thousand events through a memory source, a provider and a consumer with a thread of its own, batched by the provider."""
-    rows = table(spark, d, "events").where("event_id < 1000").orderBy("event_id").select("event_id").collect()
+    """All events through a memory source, a provider and a consumer with a thread of its own, batched by the provider."""
+    size = max(table(spark, d, "events").count() // 4, 1)
+    rows = table(spark, d, "events").select("event_id").sort("event_id").toLocalIterator()
     source = MemorySource(spark, "uid long, version long, seq long, is_deleted boolean, is_skip boolean, batch long")
-    source.add((r["event_id"], r["event_id"], r["event_id"], False, False, r["event_id"] // 250) for r in rows)
+    source.add((r["event_id"], r["event_id"], r["event_id"], False, False, r["event_id"] // size) for r in rows)
     source.end()
     store = new_store(spark)
-    consumer = Consumer(Ingest(store, lambda df: df, IngestConfig(realtime_batch_size=250)), source.rows)
-    Provider(source.next, consumer.consume, 250).start().wait(120)
+    consumer = Consumer(Ingest(store, lambda df: df, IngestConfig(realtime_batch_size=size)), source.rows)
+    Provider(source.next, consumer.consume, size).start().wait(120)
     consumer.flush(120)
     consumer.stop()
     return store.live().groupBy("batch").agg(F.count(F.lit(1)).alias("events"), F.min("version").alias("first"), F.max("version").alias("last"))

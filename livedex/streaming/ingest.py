@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -163,7 +164,7 @@ class MemorySource:
     """Events added by the program, handed on one by one; next() blocks until there is one, and gives None after end()."""
 
     def __init__(self, spark: SparkSession, schema: str):
-        self.spark, self.schema, self.queue, self.count, self.batches = spark, schema, [], 0, 0
+        self.spark, self.schema, self.queue, self.count, self.batches = spark, schema, deque(), 0, 0
         self.changed, self.handed, self.ended = threading.Condition(), 0, False
 
     def add(self, events: Iterable[tuple]) -> None:
@@ -179,7 +180,7 @@ class MemorySource:
             if not self.queue:
                 return None
             self.handed += 1
-            event = self.queue.pop(0)
+            event = self.queue.popleft()
             self.changed.notify_all()
             return event
 
@@ -201,7 +202,7 @@ class MemorySource:
         """Hands on what is there, in batches."""
         while self.queue:
             with self.changed:
-                part, self.queue = self.queue[:batch_size], self.queue[batch_size:]
+                part = [self.queue.popleft() for _ in range(min(batch_size, len(self.queue)))]
                 self.handed += len(part)
                 self.changed.notify_all()
             if throttle:
