@@ -16,7 +16,6 @@ import numpy as np
 from pyarrow import fs
 
 _ONE = np.uint64(1)
-_POP = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 #: Place of the r-th one (from 0) in a byte; 8 if there is none.
 _NTH = np.array([[([k for k in range(8) if b >> k & 1] + [8] * 8)[r] for r in range(8)] for b in range(256)], np.uint8)
 
@@ -24,23 +23,21 @@ _NTH = np.array([[([k for k in range(8) if b >> k & 1] + [8] * 8)[r] for r in ra
 def _select(words: np.ndarray, before: np.ndarray, r: np.ndarray, zeros: bool = False) -> np.ndarray:
     """Places of the r-th ones, or zeros (from 0); `before` has how many stand before each word, and in all."""
     w = np.searchsorted(before, r, "right") - 1
-    left = (r - before[w]).astype(np.int64)
-    at = w.astype(np.int64) * 64
+    left = r - before[w]
     word = ~words[w] if zeros else words[w]
-    done = np.zeros(len(r), bool)
-    for k in range(8):
-        byte = ((word >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)
-        ones = _POP[byte]
-        here = ~done & (left < ones)
-        at[here] += 8 * k + _NTH[byte[here], left[here]]
-        done |= here
-        left -= np.where(done, 0, ones)
-    return at
+    at = w.astype(np.int64) * 64
+    for half in (32, 16, 8):
+        ones = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
+        later = left >= ones
+        left -= ones * later
+        at += half * later
+        word = word >> (np.uint64(half) * later)
+    return at + _NTH[(word & np.uint64(255)).astype(np.int64), left]
 
 
 def _ones_before(words: np.ndarray) -> np.ndarray:
     out = np.zeros(len(words) + 1, np.int64)
-    np.cumsum(_POP[words.view(np.uint8)].reshape(-1, 8).sum(1, dtype=np.int64), out=out[1:])
+    np.cumsum(np.bitwise_count(words), out=out[1:])
     return out
 
 
@@ -86,26 +83,41 @@ class EliasFano:
         high = _select(self.words, self.ones, i) - i
         return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self.low(i)
 
-    def successor(self, value: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The place in [first, last) of the first element of at least `value` (last: none).
-
-        Elements with the value's high part stand between two zeros; among them, low parts are searched by halves.
-        """
+    def _run(self, value: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where in [first, last) elements with the value's high part stand, which is between two zeros; and its low part."""
         high = (value >> np.uint64(self.low_bits)).astype(np.int64)
         start = np.zeros(len(value), np.int64)
         later = high > 0
         start[later] = _select(self.words, self.zeros, high[later] - 1, True) - (high[later] - 1)
         end = _select(self.words, self.zeros, high, True) - high
-        low = value & np.uint64((1 << self.low_bits) - 1)
-        a, b = np.clip(start, first, last), np.clip(end, first, last)
-        while True:
-            open_ = np.flatnonzero(a < b)
-            if not len(open_):
-                return a
+        return np.clip(start, first, last), np.clip(end, first, last), value & np.uint64((1 << self.low_bits) - 1)
+
+    def _search(self, low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The first place in [a, b) whose low part is at least `low` (b: none), by halves."""
+        a, b = a.copy(), b.copy()
+        open_ = np.flatnonzero(a < b)
+        while len(open_):
             middle = (a[open_] + b[open_]) // 2
             less = self.low(middle) < low[open_]
             a[open_[less]] = middle[less] + 1
             b[open_[~less]] = middle[~less]
+            open_ = open_[a[open_] < b[open_]]
+        return a
+
+    def successor(self, value: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The place in [first, last) of the first element of at least `value` (last: none)."""
+        start, end, low = self._run(value, first, last)
+        return self._search(low, start, end)
+
+    def find(self, value: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The place in [first, last) of the first element that is `value`, or -1: its successor's, if that is equal."""
+        start, end, low = self._run(value, first, last)
+        at = self._search(low, start, end)
+        inside = np.flatnonzero(at < end)
+        inside = inside[self.low(at[inside]) == low[inside]]
+        out = np.full(len(value), -1, np.int64)
+        out[inside] = at[inside]
+        return out
 
 
 def _store(path: str):

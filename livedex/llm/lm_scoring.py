@@ -1,22 +1,29 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 The corpus is read three times.  First, words are counted; a word is a 64-bit hash, and shards of the vocabulary are
-ranges of hashes, so a word's id is its rank among all hashes.  Second, pairs of neighbouring words are counted, by the
-shard of the first word.  Each shard becomes a file with a level of contexts and a level of successors: monotone
-Elias-Fano pointers from a context to its successors, the successors as an Elias-Fano sequence, and one byte for the
-quantised logarithm of each smoothed probability and of each context's back-off.  Third, texts are scored: the files are
-mapped into memory, and a pair is found by its context's pointers and a successor search between them.
-
-Smoothing interpolates absolute discounts, three of them by count, with the add-one unigram distribution:
-p(w | v) = (c(v w) - D) / c(v) + b(v) p(w), where p(w) = (c(w) + 1) / (N + V + 1) is the base.  The discounts come from
-the counts of counts of the context's shard.  Probabilities over known words and one unknown word sum to one before
-quantisation; a quantised value stands for the mean of a 256th of its range of logarithms.
-
-Counts travel as packed arrays, summed per task before the shuffle, so a frequent word or pair is one entry a task.  They
-are dealt by shard and by a part of the words first, where what the tasks have counted is summed, and the sums of a shard's
-parts then meet: so a frequent context's successors come from all tasks to many places, and each pair to its shard once.
-What is gathered grows with the distinct words and pairs of the corpus; nothing is pruned.  Ids are 32 bits: a corpus of
-more distinct words raises an OverflowError.
+ranges of hashes, so a word's id is its rank among all hashes.  Second, runs of two words, or of three as the registered
+query has it, are counted.  Third, texts are scored: the files are mapped into memory, and an n-gram is
+found by its context's pointers and a successor search between them.
+
+A level has monotone Elias-Fano pointers from a context to its successors, the successors as an Elias-Fano sequence, and
+one byte for the quantised logarithm of each smoothed probability and of each context's back-off.  The level of pairs is
+sharded by the first word.  The level of triples is sharded by a bijective 64-bit mix of the context's two ids, so that
+the pairs of a frequent word are in all shards; its contexts are an Elias-Fano sequence of these mixes.
+
+Smoothing interpolates absolute discounts, three of them by count, down to the add-one unigram distribution:
+p(w | u, v) = (c(u v w) - D) / c(u v) + b(u v) p(w | v) and p(w | v) = (c(v w) - D) / c(v) + b(v) p(w), where
+p(w) = (c(w) + 1) / (N + V + 1) is the base.  Pairs are stored interpolated; triples are stored discounted, and interpolated
+when they are queried, as p(w | v) is in another shard.  A text's first word has one word of context, its start; words
+after a pair that training lacks have p(w | v).  The discounts come from the counts of counts of the context's shard.
+Probabilities over known words and one unknown word sum to one before quantisation; a quantised value stands for the
+mean of a 256th of its range of logarithms.
+
+Counts travel as packed arrays, summed per task before the shuffle, so a frequent n-gram is one entry a task.  Words, and
+pairs where they are the last level, are dealt by shard and by a part of the words first, where what the tasks have
+counted is summed, and the sums of a shard's parts then meet.  Triples are dealt once and are summed as they arrive, so a
+shard holds its distinct triples and not what every task sends; pairs are their sums, and are sent on once.
+What is gathered grows with the distinct n-grams of the corpus; nothing is pruned.  Ids are 32 bits: a corpus of more
+distinct words raises an OverflowError.
 
 Defined results: a null text is empty and has one token, the end; with no training text every token is unknown and
 scores log10(1 / 1) = 0; rows keep their number; only doc_id and text are read.
@@ -24,18 +31,23 @@ scores log10(1 / 1) = 0; rows keep their number; only doc_id and text are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, new_folder, slices, tidy, utf8
+from .common import Words, cut, mixed, new_folder, slices, tidy, utf8
 from .elias_fano import EliasFano, encode, mapped, removed, write
 
 #: The end of a text, as a word; it is also the context of the first word.
 END = np.uint64(0x9E3779B97F4A7C15)
-#: Entries that a counting task holds before it passes them on.
+#: Columns of entries that a counting task holds before it passes them on.
 HELD = 3_000_000
+#: In the place of the word after a text's end.
+NONE = 0xFFFFFFFF
+_MASK = np.uint64(0xFFFFFFFF)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -57,12 +69,32 @@ def tokens(column, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], places + 1])
 
 
-def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.add.reduceat(count, first) if len(first) else count
+def runs(column: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]])) if len(column) else np.zeros(0, np.int64)
+
+
+def ranks(column: np.ndarray) -> np.ndarray:
+    """The number of each value's run."""
+    out = np.zeros(len(column), np.uint64)
+    np.cumsum(column[1:] != column[:-1], out=out[1:])
+    return out
+
+
+Key = tuple[np.ndarray, ...]
+
+
+def summed(keys: list[Key], counts: list[np.ndarray]) -> tuple[Key, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts.  A key is one column of 64 bits, or that and one of 32."""
+    columns, count = [np.concatenate(c) for c in zip(*keys, strict=True)], np.concatenate(counts)
+    order = np.argsort(columns[0], kind="stable")
+    one = columns[0][order]
+    if len(columns) > 1:
+        one = (ranks(one) << np.uint64(32)) | columns[1][order].astype(np.uint64)
+        again = np.argsort(one, kind="stable")
+        order, one = order[again], one[again]
+    first = runs(one)
+    return tuple(c[order[first]] for c in columns), np.add.reduceat(count[order], first) if len(first) else count
 
 
 #: Files that this process has mapped, of the model it used last.  Workers live on from task to task.
@@ -121,28 +153,81 @@ class Model:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.vocabulary + 1))
 
+    def _score(self, level: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray, below: np.ndarray, stored_whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities after contexts of a level (sorted, by place), and which n-grams it has; ids of -1 are unknown."""
+        pointers, successors = sequence(level, "p"), sequence(level, "s")
+        start = runs(context)
+        which = ranks(context).astype(np.int64)
+        first, last = (pointers.get(context[start] + k).astype(np.int64)[which] for k in (0, 1))
+        asked = np.flatnonzero((word >= 0) & (first < last))
+        at = successors.find((context[asked] * self.vocabulary + word[asked]).astype(np.uint64), first[asked], last[asked])
+        hit, at = asked[at >= 0], at[at >= 0]
+        score = level["back_values"][level["back"][context]] + below
+        own = level["log_values"][level["log"][at]]
+        score[hit] = own if stored_whole else np.log10(10 ** score[hit] + 10**own)
+        known = np.zeros(len(word), bool)
+        known[hit] = True
+        return score, known
+
     def pairs(self, context: np.ndarray, word: np.ndarray, base: np.ndarray) -> np.ndarray:
         """log10 probabilities of words after contexts, sorted by context; ids of -1 are unknown."""
-        out = base.copy()
+        return self.known_pairs(context, word, base)[0]
+
+    def known_pairs(self, context: np.ndarray, word: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As pairs(), and which of the pairs training has."""
+        out, known = base.copy(), np.zeros(len(base), bool)
         edges = np.searchsorted(context, self.first_id)
         for s in np.flatnonzero(np.diff(edges)):
             part = slice(edges[s], edges[s + 1])
-            level = self.arrays("pairs", s)
-            pointers = EliasFano({k[1:]: v for k, v in level.items() if k[0] == "p"})
-            successors = EliasFano({k[1:]: v for k, v in level.items() if k[0] == "s"})
-            own = context[part] - self.first_id[s]
-            first, last = pointers.get(own).astype(np.int64), pointers.get(own + 1).astype(np.int64)
-            known = word[part] >= 0
-            at = np.where(known, first, last)
-            value = (own[known] * self.vocabulary + word[part][known]).astype(np.uint64)
-            at[known] = successors.successor(value, first[known], last[known])
-            hit = np.flatnonzero(at < last)
-            hit = hit[successors.get(at[hit]) == (own[hit] * self.vocabulary + word[part][hit]).astype(np.uint64)]
-            score = level["back_values"][level["back"][own]] + base[part]
-            score[hit] = level["log_values"][level["log"][at[hit]]]
-            out[part] = score
+            out[part], known[part] = self._score(self.arrays("pairs", s), context[part] - self.first_id[s], word[part], base[part], True)
+        return out, known
+
+    def triples(self, pair: np.ndarray, word: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """log10 probabilities of words after mixed pairs that training has, sorted; `below` has those after the last word alone."""
+        out = below.copy()
+        edges = np.searchsorted(self.shard_of(pair), np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(edges)):
+            part = slice(edges[s], edges[s + 1])
+            level, asked = self.arrays("triples", s), pair[part] - self.least(s)
+            start = runs(asked)
+            contexts = sequence(level, "c")
+            at = contexts.find(asked[start], np.zeros(len(start), np.int64), np.full(len(start), contexts.n))[ranks(asked).astype(np.int64)]
+            out[part] = self._score(level, at, word[part], below[part], False)[0]
         return out
 
+    def least(self, shard: int) -> np.uint64:
+        """The least hash of a shard."""
+        return np.uint64(int(shard) << (64 - (self.shards - 1).bit_length())) if self.shards > 1 else np.uint64(0)
+
+
+def sequence(level: dict[str, np.ndarray], name: str) -> EliasFano:
+    return EliasFano({k[1:]: v for k, v in level.items() if k[0] == name})
+
+
+def small(numbers: np.ndarray) -> bytes:
+    """Positive integers, most of them below 255, as a byte each; the others follow."""
+    large = numbers >= 255
+    return np.where(large, 255, numbers).astype(np.uint8).tobytes() + numbers[large].astype("<u8").tobytes()
+
+
+def unsmall(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw[n:], "<u8")
+    return out
+
+
+def joined(*parts: bytes) -> bytes:
+    return b"".join(len(part).to_bytes(8, "little") + part for part in parts)
+
+
+def parted(raw: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
 
 def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A byte for each value, and the 256 values that the bytes stand for: means of equal parts of the range."""
@@ -153,52 +238,64 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, np.where(n > 0, np.bincount(code, values, minlength=256) / np.maximum(n, 1), middle)
 
 
-def packed_counts(docs: DataFrame, count, shards: int) -> DataFrame:
-    """Rows (shard, keys, counts) of the keys that `count(text column)` finds, a row or few for each part of a shard."""
+SCHEMA = "shard int, part int, keys binary, counts binary"
 
-    def packed(shard: int, part: int, key: np.ndarray, n: np.ndarray):
-        for at in range(0, len(key), 1 << 21):
-            piece = slice(at, at + (1 << 21))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([count.pack(key[piece])], pa.binary()), pa.array([n[piece].astype("<u8" if n[piece].max() >> 32 else "<u4").tobytes()], pa.binary())],
-                ["shard", "part", "keys", "counts"],
-            )
 
-    def rows(batches):
-        keys, counts, held = [], [], 0
+def packed(count, key: Key, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA of distinct keys: one, or few, for each part of a shard."""
+    place = count.shard(key) * PARTS + count.part(key)
+    order = np.argsort(place, kind="stable")
+    key, n, place = tuple(c[order] for c in key), n[order], place[order]
+    edges = [*runs(place).tolist(), len(place)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        shard, part = divmod(int(place[a]), PARTS)
+        for at in range(a, b, 1 << 21):
+            piece = slice(at, min(b, at + (1 << 21)))
+            values = [shard], [part], [count.pack(tuple(c[piece] for c in key))], [small(n[piece])]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "part", "keys", "counts"])
+
 
-        def flush():
-            key, n = summed(keys, counts)
-            place = count.shard(key) * PARTS + count.part(key)
-            order = np.argsort(place, kind="stable")
-            key, n, place = key[order], n[order], place[order]
-            for group in np.split(np.arange(len(key)), np.flatnonzero(np.diff(place)) + 1):
-                if len(group):
-                    yield from packed(*divmod(int(place[group[0]]), PARTS), key[group], n[group])
+def counted(docs: DataFrame, count) -> DataFrame:
+    """Rows of SCHEMA of what `count(text column)` finds, several for a key."""
 
+    def rows(batches):
+        keys, counts, held = [], [], 0
         for batch in slices(batches, 3_000_000, rows=1 << 20):
-            key, n = np.unique(count(batch.column("text")), return_counts=True)
+            key = count(batch.column("text"))
+            key, n = summed([key], [np.ones(len(key[0]), np.int64)])
             keys.append(key)
-            counts.append(n.astype(np.int64))
-            held += len(key)
+            counts.append(n)
+            held += len(n) * len(key)
             if held > HELD:
-                yield from flush()
+                yield from packed(count, *summed(keys, counts))
                 keys, counts, held = [], [], 0
         if keys:
-            yield from flush()
+            yield from packed(count, *summed(keys, counts))
+
+    return docs.select("text").mapInArrow(tidy(rows), SCHEMA)
+
 
-    def together(key, table):
-        return pa.Table.from_batches(packed(key[0].as_py(), key[1].as_py(), *gathered(table, count.unpack)))
+def packed_counts(docs: DataFrame, count) -> DataFrame:
+    """Rows of SCHEMA of the keys that `count(text column)` finds, a row or few for each part of a shard."""
 
-    schema = "shard int, part int, keys binary, counts binary"
-    counted = docs.select("text").mapInArrow(tidy(rows), schema)
-    return counted.groupBy("shard", "part").applyInArrow(together, schema)
+    def together(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(count, *gathered(batches, count))
 
+    return counted(docs, count).groupBy("shard", "part").applyInArrow(together, SCHEMA)
 
-def gathered(table, unpack) -> tuple[np.ndarray, np.ndarray]:
-    """The summed keys and counts of rows that packed_counts() made."""
-    keys = [unpack(k.as_py()) for k in table.column("keys")]
-    counts = [np.frombuffer(raw, "<u4" if len(raw) == 4 * len(k) else "<u8").astype(np.int64) for k, raw in zip(keys, (c.as_py() for c in table.column("counts")), strict=True)]
+
+def gathered(batches: Iterator[pa.RecordBatch], count) -> tuple[Key, np.ndarray]:
+    """The summed keys and counts of rows that packed() made, summed as they arrive."""
+    keys, counts, held, distinct = [], [], 0, 0
+    for batch in batches:
+        for raw, numbers in zip(batch.column("keys"), batch.column("counts"), strict=True):
+            key = count.unpack(raw.as_py())
+            keys.append(key)
+            counts.append(unsmall(numbers.as_py(), len(key[0])))
+            held += len(key[0])
+            if held > max(HELD // 2, distinct):
+                key, n = summed(keys, counts)
+                keys, counts, held, distinct = [key], [n], 0, len(n)
     return summed(keys, counts)
 
 
@@ -206,21 +303,21 @@ class WordCount:
     def __init__(self, shards: int):
         self.model, self.words = Model("", shards, np.zeros(shards, np.int64), 0), None
 
-    def __call__(self, column) -> np.ndarray:
+    def __call__(self, column) -> Key:
         self.words = self.words or Words()
-        return tokens(column, self.words)[0]
+        return (tokens(column, self.words)[0],)
 
-    def shard(self, keys):
-        return self.model.shard_of(keys)
+    def shard(self, key):
+        return self.model.shard_of(key[0])
 
-    def part(self, keys):
-        return (keys % np.uint64(PARTS)).astype(np.int64)
+    def part(self, key):
+        return (key[0] % np.uint64(PARTS)).astype(np.int64)
 
-    def pack(self, keys) -> bytes:
-        return keys.astype("<u8").tobytes()
+    def pack(self, key) -> bytes:
+        return key[0].astype("<u8").tobytes()
 
-    def unpack(self, raw: bytes) -> np.ndarray:
-        return np.frombuffer(raw, "<u8")
+    def unpack(self, raw: bytes) -> Key:
+        return (np.frombuffer(raw, "<u8"),)
 
 
 class PairCount:
@@ -229,29 +326,60 @@ class PairCount:
     def __init__(self, model: Model):
         self.model, self.words = model, None
 
-    def __call__(self, column) -> np.ndarray:
+    def ids(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all tokens, and the n+1 offsets of the texts among them."""
         self.words = self.words or Words()
-        token, _ = tokens(column, self.words)
+        token, ends = tokens(column, self.words)
         unique, back = np.unique(token, return_inverse=True)
-        ids, _ = self.model.ids(unique)
-        ids = ids[back].astype(np.uint64)
+        return self.model.ids(unique)[0][back].astype(np.uint64), ends
+
+    def __call__(self, column) -> Key:
+        ids, _ = self.ids(column)
         before = np.concatenate([ids[-1:], ids[:-1]])  # the last token is an end, as is the one before each text
-        return (before << np.uint64(32)) | ids
+        return ((before << np.uint64(32)) | ids,)
 
-    def shard(self, keys):
-        return np.searchsorted(self.model.first_id, (keys >> np.uint64(32)).astype(np.int64), "right") - 1
+    def shard(self, key):
+        return np.searchsorted(self.model.first_id, (key[0] >> np.uint64(32)).astype(np.int64), "right") - 1
 
-    def part(self, keys):
-        return (keys & np.uint64(0xFFFFFFFF)).astype(np.int64) * PARTS // max(self.model.vocabulary, 1)
+    def part(self, key):
+        return (key[0] & _MASK).astype(np.int64) * PARTS // max(self.model.vocabulary, 1)
 
-    def pack(self, keys) -> bytes:
-        context, n = np.unique(keys >> np.uint64(32), return_counts=True)
-        return b"".join([len(context).to_bytes(8, "little"), context.astype("<u4").tobytes(), n.astype("<u4").tobytes(), keys.astype("<u4").tobytes()])
+    def pack(self, key) -> bytes:
+        context = key[0] >> np.uint64(32)
+        start = runs(context)
+        return joined(context[start].astype("<u4").tobytes(), small(np.diff(start, append=len(context))), key[0].astype("<u4").tobytes())
 
-    def unpack(self, raw: bytes) -> np.ndarray:
-        n = int.from_bytes(raw[:8], "little")
-        body = np.frombuffer(raw, "<u4", offset=8)
-        return (np.repeat(body[:n], body[n : 2 * n]).astype(np.uint64) << np.uint64(32)) | body[2 * n :].astype(np.uint64)
+    def unpack(self, raw: bytes) -> Key:
+        context, n, word = parted(raw)
+        context = np.frombuffer(context, "<u4").astype(np.uint64)
+        return ((np.repeat(context, unsmall(n, len(context))) << np.uint64(32)) | np.frombuffer(word, "<u4").astype(np.uint64),)
+
+
+class TripleCount(PairCount):
+    """Keys are the pairs that end in each token, and the token after it, or NONE after a text's end; so a pair's triples
+    sum to its own count.  Packed as the pairs' ids, their numbers of words, and the words."""
+
+    def __call__(self, column) -> Key:
+        ids, ends = self.ids(column)
+        before = np.concatenate([ids[-1:], ids[:-1]])
+        after = np.concatenate([ids[1:], ids[:1]]).astype(np.uint32)
+        after[ends[1:] - 1] = NONE
+        return (before << np.uint64(32)) | ids, after
+
+    def shard(self, key):
+        return self.model.shard_of(mixed(key[0]))
+
+    def part(self, key):
+        return np.zeros(len(key[0]), np.int64)
+
+    def pack(self, key) -> bytes:
+        start = runs(key[0])
+        return joined(PairCount.pack(self, (key[0][start],)), small(np.diff(start, append=len(key[0]))), key[1].astype("<u4").tobytes())
+
+    def unpack(self, raw: bytes) -> Key:
+        pair, n, word = parted(raw)
+        (pair,) = PairCount.unpack(self, pair)
+        return np.repeat(pair, unsmall(n, len(pair))), np.frombuffer(word, "<u4")
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -263,62 +391,89 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.clip([1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], [0.1, 0.1, 0.1], [0.98, 1.9, 2.9])
 
 
-def trie_level(model: Model, shard: int, keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """The arrays of a shard of pairs from its sorted keys and their counts."""
-    contexts = int(model.first_id[shard + 1] - model.first_id[shard])
-    context, word = (keys >> np.uint64(32)).astype(np.int64) - model.first_id[shard], (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+def trie_level(context: np.ndarray, word: np.ndarray, counts: np.ndarray, contexts: int, vocabulary: int, below: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """A level's arrays from its n-grams, sorted by the context's place and the last word; `below` are the last words'
+    probabilities one level down, where they are to be interpolated now."""
     total = np.maximum(np.bincount(context, counts, minlength=contexts), 1)
     off = np.minimum(discounts(counts)[np.minimum(counts, 3) - 1], counts)
     back = np.bincount(context, off, minlength=contexts) / total
-    back[np.bincount(context, minlength=contexts) == 0] = 1.0
-    p = (counts - off) / total[context] + back[context] * 10 ** model.base(model.counts(word))
+    size = np.bincount(context, minlength=contexts)
+    back[size == 0] = 1.0
+    p = (counts - off) / total[context]
+    if below is not None:
+        p += back[context] * below
     log, log_values = quantised(np.log10(p))
     back, back_values = quantised(np.log10(np.maximum(back, 1e-12)))
-    pointers = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=contexts))])
     out = {"log": log, "log_values": log_values, "back": back, "back_values": back_values}
-    out |= {f"p{k}": v for k, v in encode(pointers, len(keys) + 1).items()}
-    return out | {f"s{k}": v for k, v in encode((context * model.vocabulary + word), contexts * model.vocabulary + 1).items()}
-
-
-def trained(docs: DataFrame) -> Model:
-    """Counts the given documents' words and pairs and writes the trie to the shared folder."""
+    out |= {f"p{k}": v for k, v in encode(np.concatenate([[0], np.cumsum(size)]), len(word) + 1).items()}
+    return out | {f"s{k}": v for k, v in encode(context * vocabulary + word, contexts * vocabulary + 1).items()}
+
+
+def triple_level(model: Model, shard: int, pair: np.ndarray, word: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays of a shard of triples, and of its contexts, from sorted keys without NONE."""
+    start = runs(pair)
+    hashes = mixed(pair[start])
+    order = np.argsort(hashes)
+    place = np.empty(len(start), np.int64)
+    place[order] = np.arange(len(start))
+    context = place[ranks(pair).astype(np.int64)]
+    again = np.argsort(context, kind="stable")  # words stay in order
+    out = trie_level(context[again], word[again].astype(np.int64), counts[again], len(start), model.vocabulary)
+    return out | {f"c{k}": v for k, v in encode(hashes[order] - model.least(shard), (1 << 64) // (1 << (model.shards - 1).bit_length())).items()}
+
+
+def trained(docs: DataFrame, order: int = 2) -> Model:
+    """Counts the given documents' n-grams of up to `order` words, 2 or 3, and writes the trie to the shared folder."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: a trie has 2 or 3 levels")
     spark = docs.sparkSession
     folder = new_folder(spark, "lm")
     shards = 64
     rows = docs.count()
     while shards * 4096 < rows:
         shards *= 2
-    words = packed_counts(docs, WordCount(shards), shards)
+    words = WordCount(shards)
 
-    def word_level(key, table):
+    def word_level(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = key[0].as_py()
-        hashes, n = gathered(table, lambda raw: np.frombuffer(raw, "<u8"))
+        (hashes,), n = gathered(batches, words)
         write(f"{folder}/words-{shard}", {"hash": hashes, "count": n})
-        return pa.table({"shard": pa.array([shard], pa.int32()), "size": pa.array([len(hashes)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "size": [len(hashes)], "tokens": [int(n.sum())]})
 
-    found = words.groupBy("shard").applyInArrow(word_level, "shard int, size long, tokens long").collect()  # a row a shard
+    found = packed_counts(docs, words).groupBy("shard").applyInArrow(word_level, "shard int, size long, tokens long").collect()  # a row a shard
     sizes = np.zeros(shards, np.int64)
     for r in found:
         sizes[r["shard"]] = r["size"]
     model = Model(folder, shards, sizes, sum(r["tokens"] for r in found))
+    pairs, triples = PairCount(model), TripleCount(model)
+
+    def pairs_of_triples(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = key[0].as_py()
+        (pair, word), n = gathered(batches, triples)
+        inside = word != NONE
+        write(f"{folder}/triples-{shard}", triple_level(model, shard, pair[inside], word[inside], n[inside]))
+        start = runs(pair)
+        yield from packed(pairs, (pair[start],), np.add.reduceat(n, start))
 
-    def pair_level(key, table):
+    def pair_level(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = key[0].as_py()
-        keys, n = gathered(table, pairs.unpack)
-        write(f"{folder}/pairs-{shard}", trie_level(model, shard, keys, n))
-        return pa.table({"shard": pa.array([shard], pa.int32()), "size": pa.array([len(keys)], pa.int64())})
+        (pair,), n = gathered(batches, pairs)
+        context, word = (pair >> np.uint64(32)).astype(np.int64) - model.first_id[shard], (pair & _MASK).astype(np.int64)
+        contexts = int(model.first_id[shard + 1] - model.first_id[shard])
+        write(f"{folder}/pairs-{shard}", trie_level(context, word, n, contexts, model.vocabulary, 10 ** model.base(model.counts(word))))
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "size": [len(pair)]})
 
-    pairs = PairCount(model)
     if model.vocabulary:
-        packed_counts(docs, pairs, shards).groupBy("shard").applyInArrow(pair_level, "shard int, size long").collect()
+        sums = packed_counts(docs, pairs) if order == 2 else counted(docs, triples).groupBy("shard").applyInArrow(pairs_of_triples, SCHEMA)
+        sums.groupBy("shard").applyInArrow(pair_level, "shard int, size long").collect()
     return model
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """Scores every document; learns from those that aren't held out."""
+def scored(docs: DataFrame, order: int = 2) -> DataFrame:
+    """Scores every document by a model of that order; learns from those that aren't held out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    model = trained(given.where("NOT held_out"))
+    model = trained(given.where("NOT held_out"), order)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def rows(batches):
@@ -332,9 +487,18 @@ def scored(docs: DataFrame) -> DataFrame:
             ids, counts = ids[back], counts[back]
             base = model.base(counts)
             before = np.concatenate([ids[-1:], ids[:-1]])
-            order = np.lexsort([ids, before])
-            score = np.empty(len(ids))
-            score[order] = model.pairs(before[order], ids[order], base[order])
+            by = np.lexsort([ids, before])
+            score, known = np.empty(len(ids)), np.empty(len(ids), bool)
+            score[by], known[by] = model.known_pairs(before[by], ids[by], base[by])
+            if order == 3:
+                # Tokens after a known pair of their own text.
+                later = known[:-1].copy()
+                later[ends[1:-1] - 1] = False
+                at = np.flatnonzero(later) + 1
+                pair = mixed((before[at - 1].astype(np.uint64) << np.uint64(32)) | ids[at - 1].astype(np.uint64))
+                by = np.argsort(pair)
+                at, pair = at[by], pair[by]
+                score[at] = model.triples(pair, ids[at], score[at])
             columns = [np.diff(ends), np.bincount(text, counts > 0, minlength=n).astype(np.int64), np.full(n, model.tokens), np.bincount(text, base, minlength=n), np.bincount(text, score, minlength=n)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns)], names)
 

@@ -21,7 +21,7 @@ def op2_suffix_array_dedup(spark, sf_dir):
 
 
 def op3_lm_scoring(spark, sf_dir):
-    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+    return lm_scoring.scored(table(spark, sf_dir, "documents"), order=3)
 
 
 def op4_language_id(spark, sf_dir):
