@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from livedex.llm import elias_fano, jaccard_join, language_id, lm_scoring, mixing, packing, pii, suffix_dedup
-from livedex.llm.common import Words, utf8
+from livedex.llm.common import Words, mixed, utf8
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLASHING = ("size", "band", "bucket", "doc", "at", "h", "node", "key1", "component", "spans", "length", "rank", "held_out", "kept", "stay", "f", "score", "shard")
@@ -327,6 +327,8 @@ def test_elias_fano(tmp_path):
         assert (e.get(np.arange(n)) == v.astype(np.uint64)).all()
         q = np.concatenate([r.integers(0, u, 300), v])
         assert (e.successor(q.astype(np.uint64), np.zeros(len(q), int), np.full(len(q), n)) == np.searchsorted(v, q)).all()
+        place = np.where(np.isin(q, v), np.searchsorted(v, q), -1)
+        assert (e.find(q.astype(np.uint64), np.zeros(len(q), int), np.full(len(q), n)) == place).all()
 
 
 def test_lm_scoring(spark, odd):
@@ -389,6 +391,79 @@ def test_lm_score_is_the_bigram_model(spark, sf_dir):
         assert got[k][1] == pytest.approx(want, abs=0.01 * len(ws) + 0.05), k
 
 
+def test_lm_score_is_the_trigram_model(spark, odd):
+    """The third level against dictionaries, over the pairs' level, which the test above holds to its own."""
+    extra = frame(spark, [(1000 + k, t, "en", "s", 1) for k, t in enumerate(["a b c a b d a b c", "b c a b", "a b c", "A B", "c a b c d"] * 9)])
+    docs = odd.select("doc_id", "text").unionByName(extra.select("doc_id", "text"))
+    rows = docs.withColumn("held_out", lm_scoring.held_out(F.col("doc_id"))).collect()
+    two = sorted((str(r["doc_id"]), r["held_out"], r["score"]) for r in lm_scoring.scored(docs).collect())
+    three = sorted((str(r["doc_id"]), r["held_out"], r["score"]) for r in lm_scoring.scored(docs, order=3).collect())
+    assert [x[:2] for x in two] == [x[:2] for x in three]
+    model = lm_scoring.trained(docs.where(~lm_scoring.held_out(F.col("doc_id"))), 3)
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    words = Words()
+
+    def ids(text):
+        token = lm_scoring.tokens([text], words)[0]
+        unique, back = np.unique(token, return_inverse=True)
+        found, counts = model.ids(unique)
+        return found[back], model.base(counts[back])
+
+    end = ids("")[0][0]
+    texts = [(str(r["doc_id"]), r["held_out"], *ids(r["text"])) for r in rows]
+    counts = collections.Counter()
+    for _, out, found, _ in texts:
+        if not out:
+            counts.update(zip([end, *found.tolist()], found[:-1].tolist(), found[1:].tolist(), strict=False))
+    shard = lambda u, v: int(model.shard_of(mixed(np.array([u << 32 | v], np.uint64)))[0])
+    by = collections.defaultdict(list)
+    for (u, v, _), c in counts.items():
+        by[shard(u, v)].append(c)
+    off = {s: lm_scoring.discounts(np.array(c)) for s, c in by.items()}
+    total, back = collections.Counter(), collections.Counter()
+    for (u, v, _), c in counts.items():
+        total[u, v] += c
+        back[u, v] += min(off[shard(u, v)][min(c, 3) - 1], c)
+    want = []
+    for k, out, found, base in texts:
+        score, before = 0.0, [end, *found[:-1].tolist()]
+        for t, w in enumerate(found.tolist()):
+            p = 10 ** model.pairs(np.array([before[t]]), np.array([w]), base[t : t + 1])[0]
+            u, v = (before[t - 1], before[t]) if t else (None, None)
+            if t and total[u, v]:
+                c = counts[u, v, w]
+                p = (c - min(off[shard(u, v)][min(c, 3) - 1], c) if c else 0.0) / total[u, v] + back[u, v] / total[u, v] * p
+            score += math.log10(p)
+        want.append((k, out, score, len(found)))
+    for got, (k, out, score, n) in zip(three, sorted(want), strict=True):
+        assert got[:2] == (k, out)
+        assert got[2] == pytest.approx(score, abs=0.02 * n + 0.05), k
+    pytest.raises(ValueError, lm_scoring.trained, docs, 4)
+
+
+def test_lm_triples_of_a_pair_sum_to_one(spark):
+    docs = frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(("a b a b c", "a c", "b b", "c a b"))])
+    model = lm_scoring.trained(docs, 3)
+    hashes = np.unique(lm_scoring.tokens(["a b c"], Words())[0])
+    ids, counts = model.ids(hashes)
+    of = dict(zip(hashes.tolist(), ids.tolist(), strict=True))
+    a, b = (of[int(lm_scoring.tokens([t], Words())[0][0])] for t in "ab")
+    word, n = np.concatenate([ids, [-1]]), np.concatenate([counts, [0]])
+    below = model.pairs(np.full(5, b), word, model.base(n))
+    p = model.triples(np.full(5, mixed(np.array([a << 32 | b], np.uint64))[0]), word, below)
+    assert (10**p).sum() == pytest.approx(1, abs=0.04)
+    assert not np.allclose(p, below)
+
+
+def test_packed_numbers():
+    n = np.array([1, 254, 255, 256, 1 << 40, 3])
+    assert lm_scoring.unsmall(lm_scoring.small(n), 6).tolist() == n.tolist()
+    assert lm_scoring.parted(lm_scoring.joined(b"", b"ab", b"c")) == [b"", b"ab", b"c"]
+    count = lm_scoring.TripleCount(None)
+    key = np.array([5, 5, 5, (7 << 32) | 1], np.uint64), np.array([1, 2, lm_scoring.NONE, 0], np.uint32)
+    assert [c.tolist() for c in count.unpack(count.pack(key))] == [c.tolist() for c in key]
+
+
 def test_lm_beats_its_base_on_held_out_text(spark, sf_dir):
     out = lm_scoring.scored(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert out["s"] > out["b"]
