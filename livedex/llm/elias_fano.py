@@ -64,10 +64,10 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
 
 
 class EliasFano:
-    """Reads what encode() made; the arrays may be mapped."""
+    """Reads what encode() made; the arrays may be mapped.  get() takes `ones`, and the searches take `zeros`; the other may be left out."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
-        self.words, self.ones, self.zeros, self.packed = (arrays[k] for k in ("words", "ones", "zeros", "packed"))
+        self.words, self.ones, self.zeros, self.packed = (arrays.get(k) for k in ("words", "ones", "zeros", "packed"))
         self.n, self.low_bits, self.universe = map(int, arrays["shape"])
 
     def low(self, i: np.ndarray) -> np.ndarray:

@@ -8,7 +8,8 @@ found by its context's pointers and a successor search between them.
 A level has monotone Elias-Fano pointers from a context to its successors, the successors as an Elias-Fano sequence, and
 one byte for the quantised logarithm of each smoothed probability and of each context's back-off.  The level of pairs is
 sharded by the first word.  The level of triples is sharded by a bijective 64-bit mix of the context's two ids, so that
-the pairs of a frequent word are in all shards; its contexts are an Elias-Fano sequence of these mixes.
+the pairs of a frequent word are in all shards; its contexts are an Elias-Fano sequence of as many leading bits of these
+mixes as tell them apart.
 
 Smoothing interpolates absolute discounts, three of them by count, down to the add-one unigram distribution:
 p(w | u, v) = (c(u v w) - D) / c(u v) + b(u v) p(w | v) and p(w | v) = (c(v w) - D) / c(v) + b(v) p(w), where
@@ -188,7 +189,8 @@ class Model:
         edges = np.searchsorted(self.shard_of(pair), np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(edges)):
             part = slice(edges[s], edges[s + 1])
-            level, asked = self.arrays("triples", s), pair[part] - self.least(s)
+            level = self.arrays("triples", s)
+            asked = (pair[part] - self.least(s)) >> level["unused"][0]
             start = runs(asked)
             contexts = sequence(level, "c")
             at = contexts.find(asked[start], np.zeros(len(start), np.int64), np.full(len(start), contexts.n))[ranks(asked).astype(np.int64)]
@@ -205,7 +207,7 @@ def sequence(level: dict[str, np.ndarray], name: str) -> EliasFano:
 
 
 def small(numbers: np.ndarray) -> bytes:
-    """Positive integers, most of them below 255, as a byte each; the others follow."""
+    """Integers from 0, most of them below 255, as a byte each; the others follow."""
     large = numbers >= 255
     return np.where(large, 255, numbers).astype(np.uint8).tobytes() + numbers[large].astype("<u8").tobytes()
 
@@ -321,7 +323,7 @@ class WordCount:
 
 
 class PairCount:
-    """Keys are context << 32 | word, as ids; packed as the contexts' ids, their numbers of words, and the words."""
+    """Keys are context << 32 | word, as ids; packed as the steps from a context's id to the next, their numbers of words, and the words."""
 
     def __init__(self, model: Model):
         self.model, self.words = model, None
@@ -347,17 +349,18 @@ class PairCount:
     def pack(self, key) -> bytes:
         context = key[0] >> np.uint64(32)
         start = runs(context)
-        return joined(context[start].astype("<u4").tobytes(), small(np.diff(start, append=len(context))), key[0].astype("<u4").tobytes())
+        steps = small(np.diff(context[start].astype(np.int64), prepend=0))
+        return joined(len(start).to_bytes(8, "little"), steps, small(np.diff(start, append=len(context))), key[0].astype("<u4").tobytes())
 
     def unpack(self, raw: bytes) -> Key:
-        context, n, word = parted(raw)
-        context = np.frombuffer(context, "<u4").astype(np.uint64)
+        length, steps, n, word = parted(raw)
+        context = np.cumsum(unsmall(steps, int.from_bytes(length, "little"))).astype(np.uint64)
         return ((np.repeat(context, unsmall(n, len(context))) << np.uint64(32)) | np.frombuffer(word, "<u4").astype(np.uint64),)
 
 
 class TripleCount(PairCount):
     """Keys are the pairs that end in each token, and the token after it, or NONE after a text's end; so a pair's triples
-    sum to its own count.  Packed as the pairs' ids, their numbers of words, and the words."""
+    sum to its own count.  Packed as pairs are, the numbers of words, and the words."""
 
     def __call__(self, column) -> Key:
         ids, ends = self.ids(column)
@@ -405,8 +408,8 @@ def trie_level(context: np.ndarray, word: np.ndarray, counts: np.ndarray, contex
     log, log_values = quantised(np.log10(p))
     back, back_values = quantised(np.log10(np.maximum(back, 1e-12)))
     out = {"log": log, "log_values": log_values, "back": back, "back_values": back_values}
-    out |= {f"p{k}": v for k, v in encode(np.concatenate([[0], np.cumsum(size)]), len(word) + 1).items()}
-    return out | {f"s{k}": v for k, v in encode(context * vocabulary + word, contexts * vocabulary + 1).items()}
+    out |= {f"p{k}": v for k, v in encode(np.concatenate([[0], np.cumsum(size)]), len(word) + 1).items() if k != "zeros"}
+    return out | {f"s{k}": v for k, v in encode(context * vocabulary + word, contexts * vocabulary + 1).items() if k != "ones"}
 
 
 def triple_level(model: Model, shard: int, pair: np.ndarray, word: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -419,7 +422,11 @@ def triple_level(model: Model, shard: int, pair: np.ndarray, word: np.ndarray, c
     context = place[ranks(pair).astype(np.int64)]
     again = np.argsort(context, kind="stable")  # words stay in order
     out = trie_level(context[again], word[again].astype(np.int64), counts[again], len(start), model.vocabulary)
-    return out | {f"c{k}": v for k, v in encode(hashes[order] - model.least(shard), (1 << 64) // (1 << (model.shards - 1).bit_length())).items()}
+    # Only pairs that training has are looked up, so the bits that tell the contexts apart are enough.
+    hashes = hashes[order] - model.least(shard)
+    spare = int((hashes[1:] ^ hashes[:-1]).min()).bit_length() - 1 if len(hashes) > 1 else 0
+    universe = (1 << (64 - (model.shards - 1).bit_length())) >> spare
+    return out | {"unused": np.array([spare], np.uint64)} | {f"c{k}": v for k, v in encode(hashes >> np.uint64(spare), universe).items() if k != "ones"}
 
 
 def trained(docs: DataFrame, order: int = 2) -> Model:
