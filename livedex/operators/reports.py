@@ -22,15 +22,16 @@ FLUSH = r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) INFO \[(?:Batched|Realti
 def client_log(spark: SparkSession, path: str) -> DataFrame:
     """(line) of a client's log files: a record's two lines, the time line and the one after it, joined by a newline.
 
-    Lines come with their place in the file, and a line's successor is the one that starts where it ends; so records are
-    whole wherever files are split, and lines are never brought into one order.
+    Lines come with their file and their place in it, and a line's successor is the one of that file that starts where it
+    ends; so records are whole wherever files are split, and lines are never brought into one order.
     """
     sc, hadoop = spark.sparkContext, "org.apache.hadoop"
     rows = sc.newAPIHadoopFile(path, f"{hadoop}.mapreduce.lib.input.TextInputFormat", f"{hadoop}.io.LongWritable", f"{hadoop}.io.Text")
     lines = rows.map(lambda r: (r[0], r[0] + len(r[1].encode()) + 1, r[1].rstrip("\r"))).toDF("start long, end long, line string")
-    first = lines.where(F.col("line").rlike(CLIENT_TIME)).select(F.col("end").alias("start"), F.col("line").alias("first"))
-    second = lines.where(F.col("line").rlike("^" + CLIENT_TAKEN)).select("start", F.col("line").alias("second"))
-    return first.join(second, "start").select(F.concat_ws("\n", "first", "second").alias("line"))
+    lines = lines.withColumn("file", F.input_file_name())
+    first = lines.where(F.col("line").rlike(CLIENT_TIME)).select("file", F.col("end").alias("start"), F.col("line").alias("first"))
+    second = lines.where(F.col("line").rlike("^" + CLIENT_TAKEN)).select("file", "start", F.col("line").alias("second"))
+    return first.join(second, ["file", "start"]).select(F.concat_ws("\n", "first", "second").alias("line"))
 
 
 def totals(lines: DataFrame, line: str = "line") -> DataFrame:

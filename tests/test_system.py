@@ -368,6 +368,25 @@ def test_client_logs_as_they_are(spark, tmp_path):
     assert (total["transactions"], total["failed"], total["per_second"], total["per_minute"]) == (300, None, 2.0, 120.0)
 
 
+def test_client_logs_in_several_files(spark, tmp_path):
+    """Lines stand at equal places of all files, which are read in several splits each; a second line alone is no record."""
+    def record(f, k):
+        return f"Jan 1, 2024 3:04:05 PM x.y subTransaction{f}{k:05}\nINFO: TIME-TAKEN: w:q{f}: {k} : {f}\n"
+
+    for f in range(5):
+        (tmp_path / f"part {f}.log").write_text("".join(record(f, k) for k in range(10000, 14000)))
+    (tmp_path / "part 5.log").write_text("n" * len("Jan 1, 2024 3:04:05 PM x.y subTransaction010000") + "\nINFO: TIME-TAKEN: w:lost: 1 : 1\n")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("mapreduce.input.fileinputformat.split.maxsize", "50000")
+    try:
+        got = sorted((r["n"], r["query"], r["hits"], r["ms"]) for r in reports.client_records(reports.client_log(spark, str(tmp_path))).collect())
+        splits = spark.sparkContext.newAPIHadoopFile(str(tmp_path), "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text").getNumPartitions()
+    finally:
+        conf.unset("mapreduce.input.fileinputformat.split.maxsize")
+    assert splits > 20
+    assert got == [(100000 * f + k, f"q{f}", k, f) for f in range(5) for k in range(10000, 14000)]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t").mkdir()
     for k in range(3):
